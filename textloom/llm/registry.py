@@ -1,12 +1,14 @@
 """Queries and SQL of the llm operators."""
 
-from textloom.llm import line_dedup, quality_rules
+from textloom.llm import line_dedup, mixing, quality_rules
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op9_mixing": mixing.op9_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 ORACLE = {
     "op2_line_dedup": line_dedup.SQL,
+    "op9_mixing": mixing.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
