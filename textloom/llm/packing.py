@@ -180,7 +180,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = END_ID, length: int
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
 
         for b in batches:
-            ids = code.encode_many(b.column(1).to_pylist())
+            ids = code.encode_many(b.column(1))
             for doc, x in zip(b.column(0).to_pylist(), ids):
                 packer.add(doc, np.concatenate([x, end]))
             yield out()

@@ -1,23 +1,25 @@
 """Token ids of whole texts by the tokenizers library, with words encoded once.
 
 The vocabulary file splits at white space before anything else, so the ids of a
-text are those of its chunks between spaces and line feeds, joined. Chunks are
-kept in a bounded table from chunk to id bytes. A new chunk that is letters
-below U+0130 and perhaps one comma or full stop is lower-cased and its word is
-looked up among words; new words go to the library many at a time, through the
-same BPE model behind a pre-tokenizer that splits at spaces alone. All other
-chunks go to the library whole.
+text are those of its chunks between spaces and line feeds, joined. A batch's
+distinct chunks are found by Arrow's dictionaries. One of letters below U+0130
+and perhaps ASCII punctuation at its end is a lower-cased word and a run of
+punctuation, which are tokens apart; words new to a bounded table go to the
+library many at a time, through the same BPE model behind a pre-tokenizer that
+splits at spaces alone. All other chunks go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MEMO_CHUNKS = 600_000
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-į]+)([,.]?)").fullmatch
+MEMO_WORDS = 800_000
+#: No apostrophe: contractions are tokens of their own.
+_PLAIN = r"^(?P<w>[A-Za-zÀ-ÖØ-öø-į]+)(?P<p>[!-&(-/:-@\[-`{-~]*)$"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -27,10 +29,15 @@ def _byte_letters() -> dict[int, int]:
     return dict(zip(own, own)) | {b: 256 + k for k, b in enumerate(rest)}
 
 
+def _strings(a: pa.Array) -> list[str]:
+    """to_pylist, without a scalar object for each string."""
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 class TextEncoder:
     """encode_many(texts) gives an array of ids a text, equal to the library's encode(text, add_special_tokens=False)."""
 
-    def __init__(self, path: str, memo_chunks: int = MEMO_CHUNKS):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -45,10 +52,9 @@ class TextEncoder:
         for token, k in vocab.items():
             self.ends[k] = token.endswith("</w>")
         self.letters = _byte_letters()
-        self.memo_chunks = memo_chunks
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.memo_words = memo_words
         self.words: dict[str, bytes] = {}
-        self.stops = {c: self._one(c) if c else b"" for c in ("", ",", ".")}
+        self.odd: dict[str, bytes] = {}
         # the word path needs tokens that end where words end, and separate punctuation
         self.by_word = bool(self.ends.any()) and self._one("ab,") == self._one("ab") + self._one(",")
 
@@ -62,38 +68,64 @@ class TextEncoder:
             ids, part = np.array(e.ids, self.dtype), new[k * step : (k + 1) * step]
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
-                raw, size, at = ids.tobytes(), self.dtype.itemsize, 0
-                for w, cut in zip(part, cuts.tolist()):
-                    self.words[w] = raw[at * size : cut * size]
-                    at = cut
+                raw, size = ids.tobytes(), self.dtype.itemsize
+                at = [0, *(cuts * size).tolist()]
+                self.words.update(zip(part, map(raw.__getitem__, map(slice, at, at[1:]))))
             else:
-                for w in part:
-                    self.words[w] = self._one(w)
-
-    def _learn(self, new: set[str]) -> None:
-        plain, words = [], set()
-        for c in new:
-            m = _PLAIN(c) if self.by_word else None
-            if m:
-                w = m[1].lower()
-                plain.append((c, w, m[2]))
-                if w not in self.words:
-                    words.add(w)
-            else:
-                self.chunks[c] = self._one(c)
-        self._learn_words(sorted(words))
-        for c, w, stop in plain:
-            self.chunks[c] = self.words[w] + self.stops[stop]
-
-    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.chunks) > self.memo_chunks:
-            self.chunks = {"": b""}
-        if len(self.words) > self.memo_chunks:
+                self.words.update((w, self._one(w)) for w in part)
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        if len(self.words) > self.memo_words:
             self.words = {}
-        split = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        self._learn({c for x in split for c in x if c not in self.chunks})
-        get = self.chunks.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), self.dtype) for x in split]
+        found = list(map(self.words.get, words))
+        new = [w for w, x in zip(words, found) if x is None]
+        if new:
+            self._learn_words(new)
+            found = [self.words[w] if x is None else x for w, x in zip(words, found)]
+        return found
+
+    def _of_odd(self, chunks: list[str]) -> list[bytes]:
+        if len(self.odd) > self.memo_words // 8:
+            self.odd = {}
+        for c in chunks:
+            if c not in self.odd:
+                self.odd[c] = self._one(c)
+        return [self.odd[c] for c in chunks]
+
+    def _units(self, chunks: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+        """For each distinct chunk two unit numbers; the units' ids."""
+        parts = pc.extract_regex(chunks, _PLAIN)
+        plain = pc.is_valid(parts).to_numpy(zero_copy_only=False) & self.by_word
+        units = np.zeros((len(chunks), 2), np.int64)
+        found = [b""]
+        good = parts.filter(pa.array(plain))
+        for side, of in ((0, self._of_words), (1, self._of_odd)):
+            code = pc.struct_field(good, [side])
+            code = (pc.utf8_lower(code) if side == 0 else code).dictionary_encode()
+            units[plain, side] = code.indices.to_numpy() + len(found)
+            found += of(_strings(code.dictionary))
+        rest = _strings(chunks.filter(pa.array(~plain)))
+        units[~plain, 0] = np.arange(len(rest)) + len(found)
+        return units, found + self._of_odd(rest)
+
+    def encode_many(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        arr = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not len(arr):
+            return []
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(arr, ""), "\n", " "), " ")
+        code = lists.flatten().dictionary_encode()
+        units, found = self._units(code.dictionary)
+        size = self.dtype.itemsize
+        length = np.fromiter(map(len, found), np.int64, len(found)) // size
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        start = np.cumsum(length) - length
+        u = units[code.indices.to_numpy()].ravel()
+        n = length[u]
+        end = np.cumsum(n)
+        total = int(end[-1]) if len(end) else 0
+        out = ids[np.repeat(start[u] - (end - n), n) + np.arange(total)]
+        cuts = np.concatenate([[0], end])[2 * (np.asarray(lists.offsets) - lists.offsets[0].as_py())]
+        return [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 _encoders: dict[str, TextEncoder] = {}
