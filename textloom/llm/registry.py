@@ -1,10 +1,12 @@
 """Queries and SQL of the llm operators."""
 
-from textloom.llm import line_dedup, mixing, quality_rules
+from textloom.llm import line_dedup, mixing, packing, quality_rules, token_files
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op9_mixing": mixing.op9_mixing,
+    "op4_packing": packing.op4_packing,
+    "op6_token_files": token_files.op6_token_files,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 ORACLE = {
