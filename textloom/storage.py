@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -59,3 +60,9 @@ def bounded_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Python stages over whole texts hold at most this many rows at once."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files of stages that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
