@@ -1,9 +1,10 @@
 """Queries and SQL of the llm operators."""
 
-from textloom.llm import line_dedup, mixing, packing, quality_rules, token_files
+from textloom.llm import dart_minhash, line_dedup, mixing, packing, quality_rules, token_files
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op10_near_duplicates": dart_minhash.op10_near_duplicates,
     "op9_mixing": mixing.op9_mixing,
     "op4_packing": packing.op4_packing,
     "op6_token_files": token_files.op6_token_files,
