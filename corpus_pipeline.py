@@ -1,7 +1,57 @@
-"""Placeholder until its stages exist."""
-STAGES: list = []
+"""The corpus pipeline: quality rules, line dedup, near-duplicates, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), with docs a Parquet table, and returns a
+DataFrame that is written as Parquet and reread as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom import storage
+from textloom.llm import dart_minhash, line_dedup, mixing, packing, quality_rules, token_codes
+from textloom.sources.tables import table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand in ten documents or more go; a document left without text goes too."""
+    names = docs.columns
+    out = line_dedup.dedup_table(docs).filter("_n_dropped = 0 or trim(_kept) <> ''")
+    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col("_doc").getField(c).alias(c) for c in names])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays, the one of least doc_id."""
+    return dart_minhash.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document read twice is two rows."""
+    return mixing.apply(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, token_codes.default_path())
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_duplicates", near), ("mixing", mix), ("packing", pack)]
+
+#: Signatures and tokens have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and reread."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = out if k == len(STAGES) - 1 else storage.materialize(out, name)
+    return docs
