@@ -33,7 +33,7 @@ from textloom import storage
 from textloom.sources.tables import table
 
 K, SAMPLE, ROUNDS, NEAREST = 16, 10_000, 10, 5
-VISIT_SHARE, BLOCK, QUERY_BLOCK = 0.5, 1024, 256
+VISIT_SHARE, BLOCK, QUERY_BLOCK = 0.7, 1024, 256
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
