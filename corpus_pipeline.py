@@ -21,10 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in ten documents or more go; a document left without text goes too."""
-    names = docs.columns
-    out = line_dedup.dedup_table(docs).filter("_n_dropped = 0 or trim(_kept) <> ''")
     new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col("_doc").getField(c).alias(c) for c in names])
+    row = F.struct(*[(new[c] if c in new else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
+    some = (F.col("_n_dropped") == 0) | (F.trim("_kept") != "")
+    return quality_rules.keep_where(line_dedup.dedup_table(docs), some, row)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from textloom import storage
 from textloom.llm.components import components
-from textloom.llm.text_columns import words
+from textloom.llm.text_columns import BLANKS, text_or_empty, words
 from textloom.sources.tables import table
 
 WORDS, SIMILARITY = 5, 0.8
@@ -253,8 +253,9 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def classes(rows: DataFrame, similarity: float = SIMILARITY, bag: bool = False) -> DataFrame:
     """(key, doc_id, text), key unique, to (key, doc_id, class_id, class_size, kept): a row a document, one kept a class."""
-    norm = rows.select("key", F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("norm"))
-    with_words = norm.filter("norm <> ''")
+    blank = F.btrim(text_or_empty(F.col("text")), F.lit(BLANKS)) == ""
+    rows = rows.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with_words = rows.filter(~blank).select("key", "doc_id", normal(F.col("text")).alias("norm"))
     sketches = storage.materialize(sketch(with_words, bag), "sketches")
     nodes = storage.materialize(sketches.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -275,7 +276,7 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, bag: bool = False)
     sets = storage.materialize(shingle_sets(with_words, rest.select("node"), bag), "sets")
     if not bag:
         labels = _merge(_prefix_pairs(rest, sets, similarity), nodes, with_words, labels, similarity, sure, bag)
-    return _report(norm, sketches, labels)
+    return _report(rows.filter(blank), sketches, labels)
 
 
 def _merge(pairs, nodes, texts, labels, similarity, sure, bag) -> DataFrame:
@@ -286,14 +287,14 @@ def _merge(pairs, nodes, texts, labels, similarity, sure, bag) -> DataFrame:
     return components(storage.materialize(similar(near, sets, similarity), "links"), labels)
 
 
-def _report(norm: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
+def _report(blank: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
     named = sketches.select("key", "doc_id", "node").join(labels, "node", "left")
     named = storage.materialize(named.select("key", "doc_id", F.coalesce("label", "node").alias("label")), "named")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key"))
     heads = storage.materialize(named.groupBy("label").agg(first.alias("head"), F.count(F.lit(1)).alias("class_size")), "heads")
     both = named.join(heads, "label")
     out = both.select("key", "doc_id", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("key") == F.col("head.key")).alias("kept"))
-    alone = norm.filter("norm = ''").select("key", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    alone = blank.select("key", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
 
 

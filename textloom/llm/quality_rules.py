@@ -134,7 +134,13 @@ def score(docs: DataFrame, text: str = "text", base=BASE, method=METHOD) -> Data
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, with their own columns."""
     m = measure(docs.select(F.struct("*").alias("_doc"), F.col(text).alias("_text")), "_text")
-    return m.filter(~(verdict(BASE) | verdict(METHOD))).select("_doc.*")
+    return keep_where(m, ~(verdict(BASE) | verdict(METHOD)), F.col("_doc"))
+
+
+def keep_where(df: DataFrame, condition: Column, row: Column) -> DataFrame:
+    """The fields of row where the condition holds, by a generator: a filter would be pushed below
+    the projections and compute the condition's parts anew for each of their uses."""
+    return df.select(F.explode(F.when(condition, F.array(row))).alias("_row")).select("_row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
