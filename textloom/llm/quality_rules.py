@@ -35,6 +35,10 @@ STOP_WORDS = tuple(
 )
 
 
+#: A stop word and the punctuation that may follow it; longer words are not looked up.
+LONGEST_STOP = 8
+
+
 @dataclass(frozen=True)
 class Rule:
     """A document fails if numerator / denominator leaves [low, high]; an empty denominator counts as 1."""
@@ -76,19 +80,31 @@ METRICS = (
 
 
 def _count_of(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    left = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), chars, text)
+    return (F.length(text) - F.length(left)).cast("long")
 
 
-def _repeat_words(w: Column, windows: Column) -> Column:
-    """Words in windows that occur twice or more: windows sorted by hash stand beside their equals."""
-    near = lambda i, x: F.get(windows, i)["h"].eqNullSafe(x["h"])
-    repeated = F.filter(windows, lambda x, i: near(i - 1, x) | near(i + 1, x))
-    places = F.array_sort(F.transform(repeated, lambda x: x["p"]))
+def _covered(places: Column) -> Column:
+    """Words in three-word windows at ascending places."""
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"))
     return F.aggregate(places, start, step, lambda a: a["n"]).cast("long")
 
 
+#: Repeated windows up to which each window is looked up among them; beyond, windows are sorted with their places.
+FEW = 64
+
+
+def _repeat_words(hashes: Column, repeated: Column, windows: Column) -> Column:
+    """Words in windows that occur twice or more. hashes: of the windows in order; repeated: those met again, each
+    once; windows: (hash, place) sorted, so that equals stand side by side, where more than FEW are repeated."""
+    few = F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(repeated, h), i)), lambda p: p.isNotNull())
+    near = lambda i, x: F.get(windows, i)["h"].eqNullSafe(x["h"])
+    many = F.array_sort(F.transform(F.filter(windows, lambda x, i: near(i - 1, x) | near(i + 1, x)), lambda x: x["p"]))
+    none = F.size(repeated) == 0
+    return F.when(none, F.lit(0).cast("long")).when(F.size(repeated) <= FEW, _covered(few)).otherwise(_covered(many))
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns of METRICS. The inner projections are kept apart so that each array is made once."""
     t = F.col("_t")
@@ -96,22 +112,26 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumns({"_w": words(t), "_l": F.split(t, "\n")})
     out = out.withColumn("_l", F.filter("_l", lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
     w = F.col("_w")
-    window = lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("p"))
     spans = F.when(F.size(w) > 2, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn("_s", F.array_sort(F.transform(spans, window)))
-    stop = F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:"))).isin(*STOP_WORDS))
+    out = out.withColumn("_h", F.transform(spans, lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])))
+    out = out.withColumn("_s", F.sort_array("_h"))
+    again = F.filter("_s", lambda x, i: F.get(F.col("_s"), i - 1).eqNullSafe(x))
+    out = out.withColumn("_r", F.array_distinct(again))
+    pairs = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    out = out.withColumn("_p", F.when(F.size("_r") > FEW, pairs))
+    short = F.filter(w, lambda x: (F.length(x) <= LONGEST_STOP) & F.lower(F.rtrim(x, F.lit(".,;:"))).isin(*STOP_WORDS))
     return out.withColumns(
         {
             "n_words": F.size(w).cast("long"),
-            "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
+            "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": _count_of(t, SYMBOLS),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": _repeat_words(w, F.col("_s")),
-            "n_stop_words": F.size(stop).cast("long"),
+            "n_repeat_words": _repeat_words(F.col("_h"), F.col("_r"), F.col("_p")),
+            "n_stop_words": F.size(short).cast("long"),
             "n_exclamations": _count_of(t, "!"),
             "n_lines": F.size("_l").cast("long"),
         }
-    ).drop("_t", "_w", "_l", "_s")
+    ).drop("_t", "_w", "_l", "_h", "_s", "_r", "_p")
 
 
 def verdict(rules: tuple[Rule, ...]) -> Column:
@@ -163,7 +183,7 @@ m as (select rid, doc_id, len(w)::bigint as n_words,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
         (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, len(l)::bigint as n_lines,
         coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
-        len(list_filter(w, lambda x: lower(rtrim(x, '.,;:')) in ({_STOP})))::bigint as n_stop_words,
+        len(list_filter(w, lambda x: length(x) <= 8 and lower(rtrim(x, '.,;:')) in ({_STOP})))::bigint as n_stop_words,
         length(regexp_replace(text, '[^!]', '', 'g'))::bigint as n_exclamations
       from w left join c using (rid)),
 b as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed, greatest(n_words, 1) as d from m)
