@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -56,8 +58,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return write_table(df, tag)[0]
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the package to Python workers through Spark's own file server, once an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        here = os.path.dirname(os.path.abspath(__file__))
+        out = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="textloom-code-"), "textloom"), "zip", os.path.dirname(here), "textloom")
+        spark.sparkContext.addPyFile(out)
+
+
 def bounded_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python stages over whole texts hold at most this many rows at once."""
+    """Before a Python stage over whole texts: it holds at most this many rows at once, and finds this package."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
