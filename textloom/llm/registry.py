@@ -1,10 +1,11 @@
 """Queries and SQL of the llm operators."""
 
-from textloom.llm import dart_minhash, line_dedup, link_trust, min_cut, mixing, multi_index, packing, quality_rules, token_files
+from textloom.llm import dart_minhash, license_scan, line_dedup, link_trust, min_cut, mixing, multi_index, packing, quality_rules, token_files
 
 QUERIES = {
     "op1_link_trust": link_trust.op1_link_trust,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_packing": packing.op4_packing,
     "op5_html_extraction": min_cut.op5_html_extraction,
     "op6_token_files": token_files.op6_token_files,
