@@ -97,8 +97,6 @@ def passages(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return out
     for a in _ANCHOR.finditer(text):
-        if out and a.end() <= out[-1][1]:
-            continue
         lo, hi = max(0, a.start() - 400), a.end() + 400
         before, after = text[lo : a.start()], text[a.end() : hi]
         if cut := list(_BLANK.finditer(before)):
