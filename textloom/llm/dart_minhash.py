@@ -15,8 +15,10 @@ coordinates of a band share a bucket. No bucket emits its pairs:
 1. every member is compared with the bucket's pivot, the member whose buckets
    are largest (a copy's original shares more than its other copies do);
 2. once more, with the best member outside the first pivot's component;
-3. members of buckets that still hold several components go to an exact
-   prefix-filter join: sharing a rare shingle among the (1 - s) n + 1 rarest is
+3. members of buckets that still hold several components are compared with the
+   one whose shingles most of them have: an original, if its copies have edits
+   of their own;
+4. they then go to an exact prefix-filter join: sharing a rare shingle among the (1 - s) n + 1 rarest is
    necessary for similarity s, so copies with edits of their own drop out in
    linear time. Pairs inside a shingle's leading component are not made.
 Signatures agreeing in under half of the coordinates are dropped before texts
@@ -173,7 +175,10 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, wanted: DataFrame, bag: bool = False) -> DataFrame:
-    """(node, hashes, weights) of the wanted nodes, from (norm) of any of their rows."""
+    """(node, hashes, weights) of wanted (key, node), from the texts of the rows with those keys.
+
+    Texts are dealt out once, by a key that is unique; the hint keeps that plan at every size.
+    """
 
     def run(batches):
         for b in batches:
@@ -183,8 +188,8 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, bag: bool = False) -> DataF
             ws = pa.array([w[x:y].astype("<f4").tobytes() if bag else b"" for x, y in zip(cut, cut[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), hs, ws], ["node", "hashes", "weights"])
 
-    texts = rows.select(F.unhex(F.md5("norm")).alias("node"), "norm").join(wanted, "node", "left_semi")
-    return texts.mapInArrow(run, "node binary, hashes binary, weights binary").dropDuplicates(["node"])
+    texts = rows.select("key", "text").join(wanted.hint("shuffle_hash"), "key")
+    return texts.select("node", normal(F.col("text"))).mapInArrow(run, "node binary, hashes binary, weights binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -221,31 +226,37 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
     return both.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _prefix_pairs(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b) of different components that share a shingle of both prefixes and could be similar by size. nodes: (node, label)."""
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(node, n, k, usual, prefix): shingles, those that another node has too, their mean number of nodes, and the rarest of them."""
 
     def run(batches):
         for b in batches:
-            h = [np.frombuffer(x, "<i8") for x in b.column(2).to_pylist()]
+            h = [np.frombuffer(x, "<i8") for x in b.column(1).to_pylist()]
             n = np.array([len(x) for x in h], np.int64)
             take = np.repeat(np.arange(len(b)), n)
-            cols = [b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array(n[take]), pa.array(np.concatenate([*h, np.zeros(0, "<i8")]))]
-            yield pa.RecordBatch.from_arrays(cols, ["node", "label", "n", "h"])
+            cols = [b.column(0).take(pa.array(take)), pa.array(n[take]), pa.array(np.concatenate([*h, np.zeros(0, "<i8")]))]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "n", "h"])
 
-    one = nodes.join(sets.select("node", "hashes"), "node").select("node", "label", "hashes")
-    grams = storage.materialize(one.mapInArrow(run, "node binary, label binary, n long, h long"), "grams")
+    grams = storage.materialize(sets.select("node", "hashes").mapInArrow(run, "node binary, n long, h long"), "grams")
     # a shingle of one document can't be shared; it only shortens the prefix of the others
     often = storage.materialize(grams.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "often")
-    shared = grams.join(often, "h").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("g"))
+    shared = grams.join(often, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("g"), F.sum("df").alias("sum"))
     longest = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1
     left = F.greatest(F.lit(0), longest - (F.col("n") - F.size("g"))).cast("int")
-    posts = shared.select("node", "label", "n", F.explode(F.slice("g", 1, left)).alias("x")).select("node", "label", "n", "x.h")
+    out = shared.select("node", "n", F.size("g").alias("k"), (F.col("sum") / F.col("n")).alias("usual"), F.slice("g", 1, left)["h"].alias("prefix"))
+    return storage.materialize(out, "prefixes")
+
+
+def _prefix_pairs(posts: DataFrame, least: float) -> DataFrame:
+    """(a, b) of different components that share a shingle of both prefixes and could be similar by size. posts: (node, label, n, k, at, h)."""
     posts = storage.materialize(posts, "posts")
-    lead = posts.groupBy("h", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("lead"), F.count(F.lit(1)).alias("k"))
-    lead = storage.materialize(lead.filter("k > 1").drop("k"), "leads")
+    lead = posts.groupBy("h", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("lead"), F.count(F.lit(1)).alias("of"))
+    lead = storage.materialize(lead.filter("of > 1").drop("of"), "leads")
     mixed = posts.join(lead, "h")
     x, y = mixed.filter("label <> lead").alias("x"), mixed.alias("y")
     fits = (F.col("x.n") >= F.col("y.n") * least - 1e-9) & (F.col("y.n") >= F.col("x.n") * least - 1e-9)
+    # so many shingles must be common to both: at most what is left from the first common one on, which some row is
+    fits &= F.least(F.col("x.k") - F.col("x.at"), F.col("y.k") - F.col("y.at")) >= (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-9
     once = (F.col("y.label") == F.col("y.lead")) | (F.col("x.node") < F.col("y.node"))
     both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & fits & once)
     return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
@@ -257,33 +268,35 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, bag: bool = False)
     rows = rows.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text")
     with_words = rows.filter(~blank).select("key", "doc_id", normal(F.col("text")).alias("norm"))
     sketches = storage.materialize(sketch(with_words, bag), "sketches")
-    nodes = storage.materialize(sketches.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "nodes")
+    nodes = storage.materialize(sketches.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.min("key").alias("key")), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = storage.materialize(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
     members = storage.materialize(spread.join(sizes, "bucket"), "members")
+    wanted = nodes.select("node", "key").join(members.select("node").distinct(), "node", "left_semi")
+    sets = storage.materialize(shingle_sets(rows, storage.materialize(wanted, "wanted"), bag), "sets")
     score = storage.materialize(members.groupBy("node").agg(F.sum(F.log2("m")).alias("score")), "scores")
     members = storage.materialize(members.join(score, "node"), "scored")
     labels, sure = None, 0.5 if similarity >= 0.8 else max(0.0, similarity - 0.3)
     for _ in range(2):
         pairs = _pivot_pairs(_labelled(members, labels))
-        labels = _merge(pairs, nodes, with_words, labels, similarity, sure, bag)
+        labels = _merge(pairs, nodes, sets, labels, similarity, sure)
         # members of the first pivot's component stand back, so that the rest of a bucket gets a pivot of its own
         open_ = _labelled(members, labels)
         mixed = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("m").alias("size"))
         mixed = storage.materialize(mixed.filter("lo <> hi and size > 2").select("bucket"), "mixed")
         members = storage.materialize(members.join(mixed, "bucket", "left_semi"), "open")
-    rest = storage.materialize(_labelled(members.select("node").distinct(), labels), "rest")
-    sets = storage.materialize(shingle_sets(with_words, rest.select("node"), bag), "sets")
     if not bag:
-        labels = _merge(_prefix_pairs(rest, sets, similarity), nodes, with_words, labels, similarity, sure, bag)
+        prefixes = _prefixes(sets.join(members.select("node").distinct(), "node", "left_semi"), similarity)
+        usual = members.drop("score").join(prefixes.select("node", F.col("usual").alias("score")), "node")
+        labels = _merge(_pivot_pairs(_labelled(usual, labels)), nodes, sets, labels, similarity, sure)
+        posts = _labelled(prefixes.select("node", "n", "k", F.posexplode("prefix").alias("at", "h")), labels)
+        labels = _merge(_prefix_pairs(posts, similarity), nodes, sets, labels, similarity, sure)
     return _report(rows.filter(blank), sketches, labels)
 
 
-def _merge(pairs, nodes, texts, labels, similarity, sure, bag) -> DataFrame:
+def _merge(pairs, nodes, sets, labels, similarity, sure) -> DataFrame:
     """Labels after the similar ones of the pairs have been joined."""
     near = storage.materialize(agreeing(pairs, nodes, sure), "near")
-    wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    sets = storage.materialize(shingle_sets(texts, wanted, bag), "sets")
     return components(storage.materialize(similar(near, sets, similarity), "links"), labels)
 
 
