@@ -1,4 +1,6 @@
 """All registered queries of the engine with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from textloom.plans import corpus, evaluation
+
+QUERIES: dict = corpus.R.queries | evaluation.R.queries
+ORACLE: dict = corpus.R.oracle | evaluation.R.oracle
