@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import storage
+from textloom.llm.sampling import least_hash
 from textloom.llm.text_columns import words
 from textloom.sources.tables import table
 
@@ -278,14 +279,10 @@ def train(prose: list[list[str]], seed: int = 7) -> Model:
 
 def sample_prose(docs: DataFrame, sample: int = SAMPLE, window: int = WINDOW) -> list[list[str]]:
     """A window of words from each of at most ``sample`` documents of least hash; the driver gets these words only."""
-    h = F.xxhash64("doc_id")
-    least = [r["h"] for r in docs.select(h.alias("h")).orderBy("h").limit(sample).collect()]
-    if not least:
-        return []
     w = words(F.col("text"))
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.size("w") - window, F.lit(1))).cast("int") + 1
-    few = docs.filter((h <= least[-1]) & F.col("text").isNotNull()).limit(sample)
-    few = few.select(h.alias("h"), "doc_id", w.alias("w")).filter(F.size("w") > 0)
+    few = least_hash(docs.select("doc_id", "text"), F.xxhash64("doc_id"), sample).filter("text is not null")
+    few = few.select(F.col("_h").alias("h"), "doc_id", w.alias("w")).filter(F.size("w") > 0)
     rows = few.select("h", "doc_id", F.array_join(F.slice("w", at, window), " ").alias("x")).collect()
     return [tokens(r["x"]) for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"] or 0)) if tokens(r["x"])]
 

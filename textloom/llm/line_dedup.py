@@ -73,7 +73,7 @@ class LevelledRuns:
         """Adds a run for each batch from one pass over their common counts."""
         root = storage.new_path(self.spark, "runs")
         counts.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").parquet(root)
-        for x in sorted(r[0] for r in self.spark.read.parquet(root).select("batch").distinct().limit(batches).collect()):
+        for x in sorted(r[0] for r in self.spark.read.schema("h1 long, h2 long, n long, batch int").parquet(root).select("batch").distinct().limit(batches).collect()):
             self.levels[0].append(f"{root}/batch={x}")
             self._compact()
 

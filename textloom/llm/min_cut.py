@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import storage
+from textloom.llm.sampling import least_hash
 from textloom.sources.tables import table
 
 SAMPLE = 300
@@ -300,7 +301,7 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(page_id, url, html) to (page_id, url, text, n_chars)."""
     storage.bounded_arrow_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    few = pages.filter("html is not null").select("html", F.xxhash64("page_id", "url").alias("h")).orderBy("h").limit(sample)
+    few = least_hash(pages, F.xxhash64("page_id", "url"), sample).filter("html is not null").select("html")
     w = fit([r["html"] for r in few.collect()])
 
     def run(batches):

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom import storage
+from textloom.llm.sampling import least_hash
 from textloom.sources.tables import table
 
 K, SAMPLE, ROUNDS, NEAREST = 16, 10_000, 10, 5
@@ -104,7 +105,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = VISI
     """valid() vectors to (query_id, rank, vec_id, score); is_query is a condition on vec_id."""
     spark = vectors.sparkSession
     storage.bounded_arrow_batches(spark, 4096)
-    fit = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    fit = least_hash(vectors, F.xxhash64("vec_id"), sample).orderBy("_h", "vec_id").collect()
     if not fit:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = _unit(np.array([r["v"] for r in fit], float))
