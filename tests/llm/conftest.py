@@ -10,7 +10,9 @@ def odd(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("odd")
     texts = [None, "", " \n\t", LONG, PROSE, PROSE, PROSE + " end", "One line\nCommon line\n" + PROSE, "été № 5\n COMMON LINE \n\n", "a", "#*$%&|<> " * 60, "spam spam spam " * 40]
     texts += [f"common line\n{PROSE} number {i} of the {i * 7} things" for i in range(12)]
-    sources = ["a", "a", None, "b", "b", "c", "é", "d", "a", "a", "b", "c"] + ["big"] * 12
+    good = [" ".join(f"the {a}{i} of" for a in ("hill", "river", "field") for i in range(k, k + 40)) + "." for k in (0, 0, 500, 900)]
+    texts += [good[0], good[1] + " More.", "common line\n" + good[2], good[3]]
+    sources = ["a", "a", None, "b", "b", "c", "é", "d", "a", "a", "b", "c"] + ["big"] * 12 + ["a", "b", None, "c"]
     rows = [(i, t, "en", s, None if t is None else len(t), "x", 1, True, i, [1]) for i, (t, s) in enumerate(zip(texts, sources))]
     rows += [rows[4], rows[4], (None, "no id " + PROSE, None, None, 3, None, None, None, None, None)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, node int, kept boolean, label long, bands array<int>"
