@@ -260,6 +260,27 @@ def test_mix_takes_near_targets(spark, small):
     assert sorted(map(tuple, got)) == sorted(map(tuple, Q["op9_mixing"](spark, small).collect()))
 
 
+def test_mix_is_in_slot_order(spark, tmp_path):
+    """Every prefix of the mixed rows holds the sources near their target shares, and a slot holds one source."""
+    block, size = 64, 16
+    rows = [(k, s, " ".join(f"{s}{k}x{i}" for i in range(size))) for s, m in (("a", 1500), ("b", 900), ("c", 600)) for k in range(m)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    goal = {r.source: r.target for r in mixing.targets(docs.groupBy("source").agg((F.count("*") * size).alias("source_size"))).collect()}
+    total, got = sum(goal.values()), Counter()
+    for k, r in enumerate(mixing.apply(docs, block_words=block).select("source").collect(), 1):
+        got[r.source] += size
+        if k * size < 0.99 * total:
+            assert all(abs(got[s] - k * size * t / total) <= 4 * block for s, t in goal.items())
+    sizes = docs.select("doc_id", "source", F.lit(size).cast("long").alias("size"))
+    parts = mixing.mix(sizes, block_words=block).select("source", F.explode("parts").alias("p")).select("source", "p.slot", "p.words").collect()
+    held, words = defaultdict(set), Counter()
+    for r in parts:
+        held[r.slot].add(r.source)
+        words[r.slot] += r.words
+    assert all(len(x) == 1 for x in held.values()) and max(words.values()) == block
+
+
 def test_pipeline(spark, small, odd):
     import corpus_pipeline as P
 

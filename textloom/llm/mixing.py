@@ -12,6 +12,9 @@
    the end; those beyond it are unused, and the last is cut to the target.
 3. A source's documents, shuffled by hash, form a stream, read REPEAT times over
    and cut into blocks of equal words. Slot of rank r takes block r, by a join.
+4. The mix is the blocks in order of their slots. ``mix`` gives each part of a
+   document its slot and its place in the block; ``apply`` writes rows in that
+   order, a document whole at the slot of the first word that is read of it.
 
 Prefix sums and ranks run in two levels (hash stretches of a source, then
 inside one), so a source with a third of all rows never meets in one task; only
@@ -101,7 +104,10 @@ def schedule(goal: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     made = sums.groupBy("source").agg(F.sum("_m").alias("_made")).alias("m")
     q = g.alias("q")
     short = q.join(made, F.col("q.source").eqNullSafe(F.col("m.source")), "left").select("q.source", "n_slots", F.coalesce("_made", F.lit(0)).alias("_made")).filter("_made < n_slots")
-    tail = short.select((F.lit(n) + F.col("_made")).alias("slot"), "source", F.explode(F.sequence("_made", F.col("n_slots") - 1)).alias("rank"))
+    earlier = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    short = short.withColumn("_first", F.lit(n) + F.coalesce(F.sum(F.col("n_slots") - F.col("_made")).over(earlier), F.lit(0)))
+    tail = short.select("source", "_first", "_made", F.explode(F.sequence("_made", F.col("n_slots") - 1)).alias("rank"))
+    tail = tail.withColumn("slot", F.col("_first") + F.col("rank") - F.col("_made"))
     both = ranked.unionByName(tail.select("slot", "source", "rank")).alias("s")
     whole = both.join(q, F.col("s.source").eqNullSafe(F.col("q.source")) & (F.col("s.rank") < F.col("q.n_slots")))
     words = F.least(F.lit(block_words).cast("long"), F.col("quota") - F.col("s.rank") * block_words)
@@ -126,7 +132,7 @@ def streams(docs: DataFrame, goal: DataFrame) -> DataFrame:
 
 
 def parts(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS, repeat: int = REPEAT) -> DataFrame:
-    """streams() joined to the schedule: a row for each block of a document and pass, with ``part`` (pass, at, words) or null."""
+    """streams() joined to the schedule: a row for each block of a document and pass, with ``part`` (pass, at, words, slot, place in the block) or null."""
     d = placed.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))
     d = d.withColumn("_a", F.col("_start") + F.col("_pass") * F.col("source_size"))
     last = F.least(F.col("_a") + F.col("size"), F.round("target").cast("long")) - 1
@@ -135,7 +141,7 @@ def parts(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS, r
     at = F.col("p._block") * block_words
     lo = F.greatest(F.col("p._a"), at)
     hi = F.least(F.col("p._a") + F.col("p.size"), at + F.col("s.words"))
-    part = F.when(F.col("s.words").isNotNull() & (hi > lo), F.struct(F.col("p._pass").alias("pass"), (lo - F.col("p._a")).alias("at"), (hi - lo).alias("words")))
+    part = F.when(F.col("s.words").isNotNull() & (hi > lo), F.struct(F.col("p._pass").alias("pass"), (lo - F.col("p._a")).alias("at"), (hi - lo).alias("words"), F.col("s.slot").alias("slot"), (lo - at).alias("place")))
     on = F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p._block") == F.col("s.rank"))
     return p.join(slots.alias("s"), on, "left").select("p.*", part.alias("part")).drop("_pass", "_a", "_block")
 
@@ -165,7 +171,7 @@ def take_words(text: Column, at: Column, words: Column) -> Column:
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus, with docs' own columns: a row for each pass over a document.
+    """The mixed corpus, with docs' own columns: a row for each pass over a document, sorted by the slot of its first block.
 
     A document read whole keeps its text; one that a stretch's end cuts (a few a
     source) has the words taken, one space between them. docs is a table of
@@ -176,13 +182,14 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     sizes = rows.select(F.col("_row").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
     taken = mix(sizes, **options).filter("taken > 0")
     runs = taken.select(F.col("doc_id").alias("_row"), F.col("size").alias("_size"), F.explode("parts").alias("_p"))
-    runs = runs.groupBy("_row", "_size", "_p.pass").agg(F.min("_p.at").alias("_at"), F.sum("_p.words").alias("_words"))
+    first = F.min(F.struct("_p.slot", "_p.place")).alias("_first")
+    runs = runs.groupBy("_row", "_size", "_p.pass").agg(F.min("_p.at").alias("_at"), F.sum("_p.words").alias("_words"), first)
     both = rows.join(runs, "_row")
     text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(take_words(F.col("text"), F.col("_at"), F.col("_words")))
     out = both.withColumn("text", text)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    return out.orderBy("_first").select(*names)
 
 
 #: The same mix in closed form: the words taken of a source are the first of its stream, read twice over.
