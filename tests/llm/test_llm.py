@@ -216,6 +216,25 @@ def test_html(spark, odd_pages):
     assert Q["op5_html_extraction"](spark, f"{odd_pages}/empty").count() == 0
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "container no-sidebar", "site nav-closed", "post comments-open", "menu", "widget"])
+def test_class_names_do_not_reach_the_article(name):
+    line = "This is the article. It has sentences that say something."
+    page = f'<body><div class="{name}">{{}}</div></body>'
+    for inner in (f"<article><p>{line}</p><p>{line}</p></article>", f"<main><div><p>{line}</p><p>{line}</p></div></main>"):
+        for w in (min_cut.PRIOR, min_cut.fit([page.format(inner + "<footer>us</footer>")] * 5)):
+            assert min_cut.main_text(page.format(inner), w) == f"{line}\n{line}"
+
+
+def test_class_names_are_a_soft_cost():
+    ad = '<article><p>This is the article. It says something.</p><div class="ad">Buy our cheap shoes today.</div><p>It goes on to say more than that.</p></article>'
+    assert "Buy" not in min_cut.main_text(ad)
+    long = " ".join(["It says a good deal more of the same matter here."] * 40)
+    inside = f'<article><p>{long}</p><div class="notice">{long}</div><p>{long}</p></article>'
+    assert min_cut.main_text(inside).count("\n") == 2
+    found = min_cut.blocks(inside)
+    assert not min_cut.label(found[1:2], min_cut.PRIOR)[0]  # alone it goes: its neighbours hold it
+
+
 def test_min_cut_is_least():
     rng = np.random.default_rng(4)
     for _ in range(20):

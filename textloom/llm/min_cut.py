@@ -10,6 +10,9 @@ more than all their edges are settled first, which leaves the minimum as it is.
 
 The classifier is fitted on at most SAMPLE pages of least hash, with labels
 from their own semantic tags and a prior that holds for tags the sample lacks.
+Class names and ids that speak of boilerplate, as whole tokens, are a cost that the
+cut can outweigh. They do not reach into a <main> or <article> below, and blocks
+that have them are not trained on, so that their weight is the prior's.
 
 Pages are independent rows: no shuffle, and memory of one page. Defined cases:
 null or empty html gives an empty text; broken markup is read as browsers do,
@@ -47,12 +50,11 @@ _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": set()}
 _BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|adslot|banner|promo\w*|sponsor\w*|sidebar|side-bar|rail|nav|navbar|navigation|menu|footer|masthead|breadcrumbs?|cookies?|"
+    r"(?:ads?|adverts?|advertisement|adsense|adslot|banner|promo\w*|sponsor\w*|sidebar|side-bar|rail|nav|navbar|navigation|menu|footer|masthead|breadcrumbs?|cookies?|"
     r"consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sign-up|share|sharing|social|related|recommend\w*|comments?|replies|reply|respond|disqus|"
-    r"widget|toolbar|pagination|pager|login|search|skip|disclaimer|copyright|outbrain|taboola|paywall)(?:$|[\s_-])",
+    r"widget|toolbar|pagination|pager|login|search|skip|disclaimer|copyright|outbrain|taboola|paywall)",
     re.I,
 )
-_HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
@@ -64,12 +66,13 @@ class Block:
     main: bool
     linked: int
     parent: int
+    named: bool = False
 
 
 def blocks(page: str | None) -> list[Block]:
     """Blocks with text, in page order; white space inside one is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, away, main, number
+    stack: list[tuple[str, bool, bool, int, bool]] = [("", False, False, 0, False)]  # tag, away, main, number, named
     parts: list[str] = []
     number = linked = link = at = 0
     page = page or ""
@@ -79,8 +82,8 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tag, away, main, _ = stack[-1]
-                out.append(Block(text, tag, away, main, linked, stack[-2][3] if len(stack) > 1 else 0))
+                tag, away, main, _, named = stack[-1]
+                out.append(Block(text, tag, away, main, linked, stack[-2][3] if len(stack) > 1 else 0, named))
         parts, linked = [], 0
 
     def add(s: str) -> None:
@@ -137,20 +140,24 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[k][0] in _CLOSES[tag]:
                     close(k)
                     break
-        _, away, main, _ = stack[-1]
+        _, away, main, _, named = stack[-1]
+        named = named and tag not in MAIN
         main = main or tag in MAIN
         away = away or tag in AWAY or (tag == "header" and not main)
         if m[3]:
             names = {x[1].lower(): (x[2] or "").strip("\"'") for x in _NAMED.finditer(m[3])}
-            label = f"{names.get('class', '')} {names.get('id', '')}"
-            main = main or names.get("role", "").lower() in ("main", "article")
-            if not away and tag not in ("html", "body", "article", "main"):
-                away = bool(_BAD.search(label)) or names.get("role", "").lower() in _ROLES or (not main and bool(_HEADER.search(label)))
+            label = f"{names.get('class', '')} {names.get('id', '')}".split()
+            role = names.get("role", "").lower()
+            if role in ("main", "article"):
+                main, named = True, False
+            elif tag not in ("html", "body", "article", "main"):
+                named = named or any(_BAD.fullmatch(x) or (not main and x.lower() == "header") for x in label)
+                away = away or role in _ROLES
             away = away or _hidden(m[3])
         number += 1
-        stack.append((tag, away, main, number))
+        stack.append((tag, away, main, number, named))
         if tag in ("html", "body", "head"):
-            stack[-1] = (tag, tag == "head", False, number)
+            stack[-1] = (tag, tag == "head", False, number, False)
         if tag == "body":  # what stands open from the head is closed
             del stack[1:-1]
     if at < len(page):
@@ -166,8 +173,8 @@ def _hidden(attributes: str) -> bool:
     return "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
 
 
-#: bias, away, main, outside of the page's main part, link density, length, sentence end, heading, list item.
-PRIOR = np.array([-0.5, -14.0, 4.0, -5.0, -4.0, 1.0, 1.0, 1.0, -0.5])
+#: bias, away, main, outside of the page's main part, link density, length, sentence end, heading, list item, class name.
+PRIOR = np.array([-0.5, -14.0, 4.0, -5.0, -4.0, 1.0, 1.0, 1.0, -0.5, -7.0])
 
 
 def features(page: list[Block]) -> np.ndarray:
@@ -175,7 +182,7 @@ def features(page: list[Block]) -> np.ndarray:
     rows = []
     for b in page:
         n = len(b.text)
-        rows.append((1.0, b.away, b.main, has and not b.main, min(1.0, b.linked / n), min(2.0, math.log1p(n) / 4), b.text[-1] in ".!?:…\"'”’»)", b.tag in _HEADS, b.tag == "li"))
+        rows.append((1.0, b.away, b.main, has and not b.main, min(1.0, b.linked / n), min(2.0, math.log1p(n) / 4), b.text[-1] in ".!?:…\"'”’»)", b.tag in _HEADS, b.tag == "li", b.named))
     return np.array(rows, float).reshape(len(rows), len(PRIOR))
 
 
@@ -187,8 +194,8 @@ def fit(pages: list[str | None], rounds: int = 200, rate: float = 0.5, hold: flo
     x, y = [], []
     for p in map(blocks, pages):
         if any(b.main for b in p):
-            x.append(features(p))
-            y += [float(b.main and not b.away) for b in p]
+            x.append(features(p)[[not b.named for b in p]])
+            y += [float(b.main and not b.away) for b in p if not b.named]
     if not x or len(set(y)) < 2:
         return PRIOR.copy()
     x, y, w = np.concatenate(x), np.array(y), PRIOR.copy()
