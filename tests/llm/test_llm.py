@@ -225,6 +225,21 @@ def test_class_names_do_not_reach_the_article(name):
             assert min_cut.main_text(page.format(inner), w) == f"{line}\n{line}"
 
 
+@pytest.mark.parametrize("icon", ["<svg/>", "<svg class='i' />", "<math/>", "<svg class=i>", "<object data=x>", "<noscript>", "<template>", "<iframe>", "<svg><path d=''/><title>No</title><text>No</text></svg>", "<select><option>No</select>", "<template><article><p>No</p></article></template>", "<noscript><div>No</div></noscript>"])
+def test_only_the_element_itself_is_skipped(icon):
+    line = "This is the article. It has sentences that say something."
+    for more in ("", "<footer><svg><path/></svg><object>No</object><noscript>No</noscript></footer>"):
+        assert min_cut.main_text(f"<body>{icon}<article><p>{line}</p></article>{more}</body>") == line
+        inside = f"<body><article><p>This is {icon}the article. It has sentences that say something.</p></article>{more}</body>"
+        assert min_cut.main_text(inside) == line
+
+
+def test_formulas_and_scripts():
+    page = "<article><p>So that <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow></math> holds for all of them.</p><script>No</script><textarea>No"
+    assert min_cut.main_text(page) == "So that x=1 holds for all of them."
+    assert min_cut.main_text("<article><div><noscript>No</div><p>This is the article, and it says something.</p></noscript></article><svg>No<svg/></svg>") == "This is the article, and it says something."
+
+
 def test_class_names_are_a_soft_cost():
     ad = '<article><p>This is the article. It says something.</p><div class="ad">Buy our cheap shoes today.</div><p>It goes on to say more than that.</p></article>'
     assert "Buy" not in min_cut.main_text(ad)

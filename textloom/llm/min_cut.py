@@ -40,14 +40,22 @@ from textloom.sources.tables import table
 SAMPLE = 300
 NEXT, SIBLING = 0.5, 0.5
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "select", "object", "math")}
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title")}
+#: Elements whose text is not shown; they stand inside a line, and one that is never closed holds nothing.
+MUTE = frozenset("noscript template iframe svg select object".split())
+_MUTE_TAG = re.compile(rf"<(/?)({'|'.join(sorted(MUTE))})(?=[\s/>])", re.I)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_FORMULA = "math annotation maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics"
+INLINE |= frozenset(_FORMULA.split()) | {"annotation-xml"}
+_GAP = frozenset("br img input annotation annotation-xml mspace mtd mtr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AWAY = frozenset("nav footer aside form button menu dialog head fieldset".split())
 MAIN = frozenset("article main".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+_ENDS_SVG = _CLOSES_P | MAIN | {"body", "li", "dd", "dt"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_HOLDS_P = MUTE | {"td", "th", "table", "button"}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": set()}
 _BAD = re.compile(
     r"(?:ads?|adverts?|advertisement|adsense|adslot|banner|promo\w*|sponsor\w*|sidebar|side-bar|rail|nav|navbar|navigation|menu|footer|masthead|breadcrumbs?|cookies?|"
@@ -69,6 +77,30 @@ class Block:
     named: bool = False
 
 
+def _drawn(m: re.Match) -> bool:
+    """<svg/>."""
+    return m[2].lower() == "svg" and m[3].rstrip().endswith("/")
+
+
+def _never_closed(page: str) -> set[int]:
+    """Places of the MUTE tags that no end tag closes; an end tag closes the last one open of its name."""
+    open_: dict[str, list[int]] = {}
+    at, find = 0, _TAG.search
+    if not _MUTE_TAG.search(page):
+        return set()
+    while m := find(page, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag in MUTE:
+            if not m[1] and not _drawn(m):
+                open_.setdefault(tag, []).append(m.start())
+            elif m[1] and open_.get(tag):
+                open_[tag].pop()
+        elif tag in _RAW and not m[1]:
+            end = _RAW[tag].search(page, at)
+            at = end.end() if end else len(page)
+    return {x for places in open_.values() for x in places}
+
+
 def blocks(page: str | None) -> list[Block]:
     """Blocks with text, in page order; white space inside one is one space."""
     out: list[Block] = []
@@ -76,10 +108,13 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     number = linked = link = at = 0
     page = page or ""
+    void = _never_closed(page)
+    #: Of each MUTE element that stands open: its place in the stack, and the text and links that it interrupts.
+    muted: list[tuple[int, list[str], int, int]] = []
 
     def flush() -> None:
         nonlocal parts, linked
-        if parts:
+        if parts and not muted:
             text = " ".join("".join(parts).split())
             if text:
                 tag, away, main, _, named = stack[-1]
@@ -94,8 +129,13 @@ def blocks(page: str | None) -> list[Block]:
             linked += len(s.strip())
 
     def close(k: int) -> None:
-        flush()
-        del stack[k:]
+        nonlocal parts, linked, link
+        while muted and muted[-1][0] >= k:
+            j, parts, linked, link = muted.pop()
+            del stack[j:]
+        if len(stack) > k:
+            flush()
+            del stack[k:]
 
     pos, find = 0, _TAG.search
     while m := find(page, pos):
@@ -110,17 +150,32 @@ def blocks(page: str | None) -> list[Block]:
                 link = max(0, link - 1)
             elif tag not in INLINE:
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-                close(k) if k else flush()
+                if k or tag not in MUTE:
+                    close(k) if k else flush()
             continue
         if tag in _RAW:
             end = _RAW[tag].search(page, pos)
             pos = at = end.end() if end else len(page)
             continue
+        if tag in MUTE:
+            if m.start() not in void and not _drawn(m):
+                number += 1
+                muted.append((len(stack), parts, linked, link))
+                stack.append((tag, True, stack[-1][2], number, stack[-1][4]))
+                parts, linked, link = [], 0, 0
+            continue
+        if muted and stack[muted[-1][0]][0] == "svg":  # as browsers do, a block of the page ends a drawing
+            if tag in _ENDS_SVG and not any(x[0] == "foreignobject" for x in stack[muted[-1][0] :]):
+                close(muted[-1][0])
+            elif m[3] and m[3].rstrip().endswith("/"):
+                continue
         if tag in INLINE:
             if tag == "a":
                 link += 1
-            elif tag in ("br", "img", "input", "wbr"):
-                parts.append(" " if tag != "wbr" else "")
+            elif tag in _GAP:
+                parts.append(" ")
+            elif tag == "wbr":
+                pass
             elif m[3] and _hidden(m[3]) and not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
                 pos = at = end.end() if end else pos
@@ -131,11 +186,11 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in _CLOSES_P:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
-            if k and not any(stack[i][0] in ("td", "th", "table", "button", "object") for i in range(k, len(stack))):
+            if k and not any(stack[i][0] in _HOLDS_P for i in range(k, len(stack))):
                 close(k)
         if tag in _CLOSES:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in _SCOPE[tag]:
+                if stack[k][0] in _SCOPE[tag] or stack[k][0] in MUTE:
                     break
                 if stack[k][0] in _CLOSES[tag]:
                     close(k)
@@ -154,14 +209,15 @@ def blocks(page: str | None) -> list[Block]:
                 named = named or any(_BAD.fullmatch(x) or (not main and x.lower() == "header") for x in label)
                 away = away or role in _ROLES
             away = away or _hidden(m[3])
+        if tag == "body":  # what stands open from the head is closed
+            close(1)
         number += 1
         stack.append((tag, away, main, number, named))
         if tag in ("html", "body", "head"):
             stack[-1] = (tag, tag == "head", False, number, False)
-        if tag == "body":  # what stands open from the head is closed
-            del stack[1:-1]
     if at < len(page):
         add(page[at:])
+    close(1)
     flush()
     return out
 
