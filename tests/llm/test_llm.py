@@ -153,6 +153,29 @@ def test_near_duplicates_star(spark, tmp_path):
     assert got == brute_classes(docs)
 
 
+def test_near_duplicates_of_bags(spark, tmp_path):
+    """Pairs with edits in common around an original that none of them is similar to, by weighted Jaccard."""
+    rng = np.random.default_rng(6)
+    base, texts = [f"w{i}" for i in range(100)] + [f"w{i}" for i in range(60)], []
+    for k in range(40):
+        w = list(base)
+        for j in rng.choice(20, 3, replace=False):
+            w[8 * j + k % 8] = f"x{k}_{j}"
+        texts += [" ".join(w), " ".join([*w, f"end{k}"])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    bags = [Counter(zip(*(w[i:] for i in range(5)))) for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if (bags[a] & bags[b]).total() >= 0.8 * (bags[a] | bags[b]).total() and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    assert len(set(root)) > 20
+    got = dart_minhash.classes(dart_minhash.keyed(docs, "doc_id", "text"), bag=True).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(root))
+
+
 def test_weighted_signatures_estimate():
     rng = np.random.default_rng(2)
     h = rng.integers(1, 1 << 62, 60).astype(np.uint64)

@@ -14,11 +14,13 @@ Join. Equal word sequences are one node. Nodes that agree in all ROWS
 coordinates of a band share a bucket. No bucket emits its pairs:
 1. every member is compared with the bucket's pivot, the member whose buckets
    are largest (a copy's original shares more than its other copies do);
-2. once more, with the best member outside the first pivot's component;
+2. those outside the first pivot's component are compared once more, with the
+   best of them;
 3. members of buckets that still hold several components are compared with the
    one whose shingles most of them have: an original, if its copies have edits
    of their own;
-4. they then go to an exact prefix-filter join: sharing a rare shingle among the (1 - s) n + 1 rarest is
+4. they then go to an exact prefix-filter join: sharing a rare shingle among the rarest, those
+   from which on at least s of the document's weight is left ((1 - s) n + 1 of a set), is
    necessary for similarity s, so copies with edits of their own drop out in
    linear time. Pairs inside a shingle's leading component are not made.
 Signatures agreeing in under half of the coordinates are dropped before texts
@@ -218,45 +220,63 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _pivots(members: DataFrame) -> DataFrame:
+    """(bucket, pivot, top): the member of best score, and its label."""
+    best = members.groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.struct("score", "node")).alias("p"))
+    return storage.materialize(best.select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("top")), "pivots")
+
+
 def _pivot_pairs(members: DataFrame) -> DataFrame:
     """(a, b): each member with its bucket's pivot, unless they are of one component."""
-    best = members.groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.struct("score", "node")).alias("p"))
-    best = storage.materialize(best.select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("top")), "pivots")
-    both = members.join(best, "bucket").filter("label <> top")
+    both = members.join(_pivots(members), "bucket").filter("label <> top")
     return both.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(node, n, k, usual, prefix): shingles, those that another node has too, their mean number of nodes, and the rarest of them."""
+def _prefixes(sets: DataFrame, least: float, bag: bool = False) -> DataFrame:
+    """(node, n, usual, prefix): weight of the shingles, their mean number of nodes, and the rarest of those that another node has too, as (h, rest).
+
+    rest is the weight of such shingles from this one on, in order of rarity. The
+    prefix ends where less than ``least`` of n is left: two documents' first
+    common shingle has their whole common weight behind it, so it is in both.
+    """
 
     def run(batches):
         for b in batches:
             h = [np.frombuffer(x, "<i8") for x in b.column(1).to_pylist()]
             n = np.array([len(x) for x in h], np.int64)
             take = np.repeat(np.arange(len(b)), n)
-            cols = [b.column(0).take(pa.array(take)), pa.array(n[take]), pa.array(np.concatenate([*h, np.zeros(0, "<i8")]))]
-            yield pa.RecordBatch.from_arrays(cols, ["node", "n", "h"])
+            w = [np.frombuffer(x, "<f4").astype(float) if bag else np.ones(k) for x, k in zip(b.column(2).to_pylist(), n)]
+            total = np.array([x.sum() for x in w])
+            cols = [b.column(0).take(pa.array(take)), pa.array(total[take]), pa.array(np.concatenate([*h, np.zeros(0, "<i8")])), pa.array(np.concatenate([*w, np.zeros(0)]))]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "n", "h", "w"])
 
-    grams = storage.materialize(sets.select("node", "hashes").mapInArrow(run, "node binary, n long, h long"), "grams")
+    grams = storage.materialize(sets.select("node", "hashes", "weights").mapInArrow(run, "node binary, n double, h long, w double"), "grams")
     # a shingle of one document can't be shared; it only shortens the prefix of the others
     often = storage.materialize(grams.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "often")
-    shared = grams.join(often, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("g"), F.sum("df").alias("sum"))
-    longest = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1
-    left = F.greatest(F.lit(0), longest - (F.col("n") - F.size("g"))).cast("int")
-    out = shared.select("node", "n", F.size("g").alias("k"), (F.col("sum") / F.col("n")).alias("usual"), F.slice("g", 1, left)["h"].alias("prefix"))
+    gram = F.struct("df", "h", "w") if bag else F.struct("df", "h")
+    shared = grams.join(often, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(gram)).alias("g"), F.sum(F.col("df") * F.col("w")).alias("sum"))
+    if bag:
+        whole = F.aggregate("g", F.lit(0.0), lambda t, x: t + x["w"])
+        start = F.struct(whole.alias("rest"), F.array().cast("array<struct<h:bigint,rest:double>>").alias("out"))
+        step = lambda t, x: F.struct((t["rest"] - x["w"]).alias("rest"), F.when(t["rest"] >= F.col("n") * least - 1e-9, F.concat(t["out"], F.array(F.struct(x["h"].alias("h"), t["rest"].alias("rest"))))).otherwise(t["out"]).alias("out"))
+        prefix = F.aggregate("g", start, step, lambda t: t["out"])
+    else:
+        left = F.greatest(F.lit(0), F.size("g") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int")
+        prefix = F.transform(F.slice("g", 1, left), lambda x, i: F.struct(x["h"].alias("h"), (F.size("g") - i).cast("double").alias("rest")))
+    out = shared.select("node", "n", (F.col("sum") / F.col("n")).alias("usual"), prefix.alias("prefix"))
     return storage.materialize(out, "prefixes")
 
 
 def _prefix_pairs(posts: DataFrame, least: float) -> DataFrame:
-    """(a, b) of different components that share a shingle of both prefixes and could be similar by size. posts: (node, label, n, k, at, h)."""
+    """(a, b) of different components that share a shingle of both prefixes and could be similar by size. posts: (node, label, n, rest, h)."""
     posts = storage.materialize(posts, "posts")
     lead = posts.groupBy("h", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("lead"), F.count(F.lit(1)).alias("of"))
     lead = storage.materialize(lead.filter("of > 1").drop("of"), "leads")
     mixed = posts.join(lead, "h")
     x, y = mixed.filter("label <> lead").alias("x"), mixed.alias("y")
     fits = (F.col("x.n") >= F.col("y.n") * least - 1e-9) & (F.col("y.n") >= F.col("x.n") * least - 1e-9)
-    # so many shingles must be common to both: at most what is left from the first common one on, which some row is
-    fits &= F.least(F.col("x.k") - F.col("x.at"), F.col("y.k") - F.col("y.at")) >= (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-9
+    # so much weight must be common to both: at most what is left from the first common one on, which some row is
+    fits &= F.least("x.rest", "y.rest") >= (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-9
     once = (F.col("y.label") == F.col("y.lead")) | (F.col("x.node") < F.col("y.node"))
     both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & fits & once)
     return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
@@ -277,20 +297,20 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, bag: bool = False)
     score = storage.materialize(members.groupBy("node").agg(F.sum(F.log2("m")).alias("score")), "scores")
     members = storage.materialize(members.join(score, "node"), "scored")
     labels, sure = None, 0.5 if similarity >= 0.8 else max(0.0, similarity - 0.3)
-    for _ in range(2):
-        pairs = _pivot_pairs(_labelled(members, labels))
-        labels = _merge(pairs, nodes, sets, labels, similarity, sure)
-        # members of the first pivot's component stand back, so that the rest of a bucket gets a pivot of its own
+    for turn in range(2):
+        side = _labelled(members, labels)
+        if turn:  # members of the first pivot's component stand back, so that the rest of a bucket gets a pivot of its own
+            side = storage.materialize(side.join(_pivots(side), "bucket").filter("label <> top").drop("pivot", "top"), "rest")
+        labels = _merge(_pivot_pairs(side), nodes, sets, labels, similarity, sure)
         open_ = _labelled(members, labels)
         mixed = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("m").alias("size"))
         mixed = storage.materialize(mixed.filter("lo <> hi and size > 2").select("bucket"), "mixed")
         members = storage.materialize(members.join(mixed, "bucket", "left_semi"), "open")
-    if not bag:
-        prefixes = _prefixes(sets.join(members.select("node").distinct(), "node", "left_semi"), similarity)
-        usual = members.drop("score").join(prefixes.select("node", F.col("usual").alias("score")), "node")
-        labels = _merge(_pivot_pairs(_labelled(usual, labels)), nodes, sets, labels, similarity, sure)
-        posts = _labelled(prefixes.select("node", "n", "k", F.posexplode("prefix").alias("at", "h")), labels)
-        labels = _merge(_prefix_pairs(posts, similarity), nodes, sets, labels, similarity, sure)
+    prefixes = _prefixes(sets.join(members.select("node").distinct(), "node", "left_semi"), similarity, bag)
+    usual = members.drop("score").join(prefixes.select("node", F.col("usual").alias("score")), "node")
+    labels = _merge(_pivot_pairs(_labelled(usual, labels)), nodes, sets, labels, similarity, sure)
+    posts = _labelled(prefixes.select("node", "n", F.inline("prefix")), labels)
+    labels = _merge(_prefix_pairs(posts, similarity), nodes, sets, labels, similarity, sure)
     return _report(rows.filter(blank), sketches, labels)
 
 
