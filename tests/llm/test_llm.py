@@ -201,6 +201,24 @@ def test_search(spark, small, tmp_path):
     assert Q["op7_multi_index"](spark, f"{tmp_path}/e").count() == 0
 
 
+def _nearest(spark, rows, sample=multi_index.SAMPLE):
+    found = multi_index.search(multi_index.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.col("vec_id") == 0, sample=sample)
+    return [(r.vec_id, r["rank"]) for r in found.orderBy("rank").collect()]
+
+
+def test_search_of_few_distinct_vectors(spark):
+    """Five answers, or all there are, whatever share of the distinct vectors holds them."""
+    turn = lambda k: [float(np.cos(k)), float(np.sin(k)), float(np.cos(2 * k)), float(np.sin(2 * k))]
+    for n in (4, 6):
+        got = _nearest(spark, [(k, turn(0.4 * k)) for k in range(n)])
+        assert [r for _, r in got] == list(range(1, min(5, n - 1) + 1))
+    # the query's own copies are no answer; the farthest vector has most of the rows
+    skewed = [(0, turn(0))] * 6 + [(1, turn(0.4)), (2, turn(0.8))] + [(k, turn(2.5)) for k in range(3, 60)]
+    assert [r for _, r in _nearest(spark, skewed)] == [1, 2, 3, 4, 5]
+    # two ids with many rows each: a bound on the hash leaves none of them
+    assert len(_nearest(spark, [(k % 2, turn(0.4 * k)) for k in range(100)], sample=2)) == 5
+
+
 def test_walk_is_in_order():
     rng = np.random.default_rng(0)
     a, b = rng.random(9), rng.random(7)

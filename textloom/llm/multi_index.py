@@ -3,8 +3,8 @@
 Unit vectors are cut in two halves, each quantised by its own k-means centroids
 (fitted on at most SAMPLE rows of least hash; every row is indexed). A pair of
 centroids is a cell. A query walks the pairs in order of summed distance with a
-heap, until the cells it has passed hold VISIT_SHARE of the distinct vectors,
-and the entries met are reranked by exact cosine on the original vectors.
+heap, until the cells it has passed hold VISIT_SHARE of the distinct vectors and
+enough rows of other ids for an answer (or all rows), and the entries met are reranked by exact cosine on the original vectors.
 
 The share is a documented parameter. Vectors without structure (such as uniform
 ones in 64 dimensions) need a large one: ``recall`` measures against brute
@@ -72,17 +72,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def walk(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, enough: float) -> list[int]:
-    """Cells in order of d1[i] + d2[j], until their sizes sum to enough: the multi-sequence traversal."""
+def walk(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, enough: float, rows: dict[int, int] | None = None, least: int = 0) -> list[int]:
+    """Cells in order of d1[i] + d2[j], until their sizes sum to enough and their rows to least: the multi-sequence traversal."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
     a, b = d1[o1], d2[o2]
-    heap, seen, out, got = [(a[0] + b[0], 0, 0)], {(0, 0)}, [], 0.0
-    while heap and got < enough:
+    heap, seen, out, got, met = [(a[0] + b[0], 0, 0)], {(0, 0)}, [], 0.0, 0
+    while heap and (got < enough or met < least):
         _, i, j = heapq.heappop(heap)
         cell = int(o1[i]) * len(d2) + int(o2[j])
         if sizes[cell]:
             out.append(cell)
             got += sizes[cell]
+            met += rows[cell] if rows else 0
         for i, j in ((i + 1, j), (i, j + 1)):
             if i < len(a) and j < len(b) and (i, j) not in seen:
                 seen.add((i, j))
@@ -129,10 +130,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = VISI
         for b in batches:
             u = _unit(_matrix(b.column(1)))
             d1, d2 = _distances(u[:, :half], c1), _distances(u[:, half:], c2)
-            cells = pa.array([walk(p, q, sizes, enough) for p, q in zip(d1, d2)], pa.list_(pa.int32()))
+            own = b.column(2).to_pylist()  # rows of the query's id, which are no answer
+            cells = pa.array([walk(p, q, sizes, enough, rows, nearest + n) for p, q, n in zip(d1, d2, own)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cells], ["vec_id", "v", "cells"])
 
-    asked = entries.filter(is_query).select("vec_id", "v").dropDuplicates(["vec_id"])
+    asked = entries.filter(is_query).groupBy("vec_id").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("own"))
     asked = asked.mapInArrow(probe, "vec_id long, v array<double>, cells array<int>").select("vec_id", "v", F.explode("cells").alias("cell"))
     n_queries = entries.filter(is_query).count()
     q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
