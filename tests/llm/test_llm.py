@@ -319,6 +319,18 @@ def test_licences(model, text, family):
         assert "icens" in text[out[4] : out[5]] or "rights" in text[out[4] : out[5]]
 
 
+@pytest.mark.parametrize("text,families", [
+    ("Licensed under the MIT License.\nLicensed under CC BY-NC 4.0.", ["cc-by-nc", "mit"]),
+    ("Licensed under the MIT License. Licensed under CC BY-NC 4.0. It holds for all.", ["cc-by-nc", "mit"]),
+    ("Released under the BSD License.\nReleased under the ISC License.\nLicensed under the Mozilla Public License, version 2.0.\nLicensed under the Apache License, Version 2.0.", ["apache-2.0", "bsd", "isc", "mpl-2.0"]),
+    ("Released under the MIT License.\nLicensed under the Zorblax Public License, version 7.", ["mit", "unknown"]),
+    ("you may not use this file except in compliance with the License. You may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0", ["apache-2.0"]),
+    ("Licensed under the GNU Affero General Public\nLicense, version 3.", ["agpl"]),
+])
+def test_licences_that_follow_one_another(model, text, families):
+    assert license_scan.scan_text(model, text)[6] == families
+
+
 def test_licence_query(spark, odd, small):
     got = Q["op3_license_scan"](spark, small)
     texts = dict(rows_of(spark, small))

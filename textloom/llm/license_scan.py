@@ -2,7 +2,9 @@
 
 A paragraph is what stands between blank lines. Words near an anchor (a word
 that licence notices hold, see ANCHOR) form a passage; passages that touch are
-one. A sparse multinomial logistic regression over the passage's distinct word
+one. Notices that follow one another in a passage are judged each: the shortest
+runs of its lines and sentences that confirm a family are notices of their own, and
+what is left between them is judged by itself. A sparse multinomial logistic regression over the passage's distinct word
 n-grams (1 to 3) gives probabilities of the licence families, of ``unknown``
 (a licence of no known family) and of ``none``. n-grams that training did not
 see weigh nothing, so prose around a notice does not dilute it.
@@ -46,6 +48,10 @@ NEAR, CONFIRM, ALARM = 24, 0.7, 0.05
 ANCHOR = r"licen[cs]|copyright|copyleft|\(c\)|©|warrant|permission|rights reserved|public domain|redistribut|creative commons|\bcc0\b"
 _ANCHOR = re.compile(ANCHOR, re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*|©")
+#: Where a line or a sentence ends.
+_UNIT_END = re.compile(r"\n|(?<=[.;!?])[ \t]+(?=[^\Wa-z_0-9]|©|\()")
+#: Lines or sentences that a notice may run over.
+RUN = 6
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 NONE, UNKNOWN = "none", "unknown"
 
@@ -290,13 +296,47 @@ def sample_prose(docs: DataFrame, sample: int = SAMPLE, window: int = WINDOW) ->
 SCHEMA = "doc_id long, n_passages long, family string, probability double, coverage double, span_start long, span_end long, families array<string>"
 
 
+def notices(model: Model, text: str, a: int, b: int) -> list[tuple[str, float, float, int, int]]:
+    """(family, probability, coverage, start, end) of each notice in the passage a .. b: the whole, unless several lines or sentences hold an anchor."""
+    cuts = [a, *(m.end() for m in _UNIT_END.finditer(text, a, b)), b]
+    units = [(x, y) for x, y in zip(cuts, cuts[1:]) if _WORD.search(text, x, y)]
+    anchored = [bool(_ANCHOR.search(text, x, y)) for x, y in units]
+    if sum(anchored) < 2:
+        return [(*model.judge(tokens(text[a:b])), a, b)]
+    judged = lambda i, j: (*model.judge(tokens(text[units[i][0] : units[j][1]])), units[i][0], units[j][1])
+    held, taken = {}, [False] * len(units)  # first unit: (last unit, notice)
+    for size in range(1, RUN + 1):  # the shortest first: a longer run with a notice in it is that notice
+        for i in range(len(units) - size + 1):
+            if any(anchored[i : i + size]) and not any(taken[i : i + size]):
+                found = judged(i, i + size - 1)
+                if found[0] not in (NONE, UNKNOWN):
+                    held[i] = (i + size - 1, found)
+                    taken[i : i + size] = [True] * size
+    out, i = [], 0
+    while i < len(units):
+        if i in held:
+            last, found = held[i]
+            out.append(found)
+            i = last + 1
+            continue
+        j = next((k for k in range(i, len(units)) if taken[k]), len(units))
+        if any(anchored[i:j]):  # what is left: the end of the notice before it, if that gains by it, or judged by itself
+            both = model.judge(tokens(text[out[-1][3] : units[j - 1][1]])) if out else (NONE, 0.0, 0.0)
+            if out and both[0] == out[-1][0] and both[2] > out[-1][2]:
+                out[-1] = (*both, out[-1][3], units[j - 1][1])
+            else:
+                out.append(judged(i, j - 1))
+        i = j
+    return out
+
+
 def scan_text(model: Model, text: str | None) -> tuple:
     """A row of SCHEMA without doc_id: the best passage, and all families in order of name. span: code points."""
     spans, found = passages(text), []
     for a, b in spans:
-        family, p, c = model.judge(tokens(text[a:b]))
-        if family != NONE:
-            found.append((family == UNKNOWN, -c, -p, family, a, b))
+        for family, p, c, x, y in notices(model, text, a, b):
+            if family != NONE:
+                found.append((family == UNKNOWN, -c, -p, family, x, y))
     if not found:
         return (len(spans), NONE, None, None, None, None, [])
     _, c, p, family, a, b = min(found)
