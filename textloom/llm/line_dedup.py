@@ -3,8 +3,9 @@
 A run is a Parquet table of (bucket, h1, h2, n), sorted by hash inside each
 hash bucket: a 128-bit hash of a line key and the number of documents that hold
 it. A batch adds one run to level 0; ``fanout`` runs of a level are merged into
-one of the next, so a hash is rewritten once a level. A batch is judged by
-merge joining its line hashes with the runs. Runs hold hashes and counts, never
+one of the next, so a hash is rewritten once a level. A line goes if all documents
+together hold it often enough, so no batch is judged before the last is added: a
+query counts in a first pass and joins the verdict back in a second. Runs hold hashes and counts, never
 lines, and are written through Spark's committer, so lost executors cost a
 retry only.
 
