@@ -106,9 +106,10 @@ def _repeat_words(hashes: Column, repeated: Column, windows: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns of METRICS. The inner projections are kept apart so that each array is made once."""
+    """docs with the columns of METRICS. The inner projections are kept apart so that each array is made once,
+    and the metrics come out of a generator: a filter on one stays above it and does not make the arrays anew."""
     t = F.col("_t")
-    out = docs.drop(*METRICS).withColumn("_t", text_or_empty(F.col(text)))
+    out = docs.select(F.struct("*").alias("_doc"), text_or_empty(F.col(text)).alias("_t"))
     out = out.withColumns({"_w": words(t), "_l": F.split(t, "\n")})
     out = out.withColumn("_l", F.filter("_l", lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
     w = F.col("_w")
@@ -120,18 +121,19 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     out = out.withColumn("_p", F.when(F.size("_r") > FEW, pairs))
     short = F.filter(w, lambda x: (F.length(x) <= LONGEST_STOP) & F.lower(F.rtrim(x, F.lit(".,;:"))).isin(*STOP_WORDS))
-    return out.withColumns(
-        {
-            "n_words": F.size(w).cast("long"),
-            "word_chars": F.length(F.array_join(w, "")).cast("long"),
-            "n_symbols": _count_of(t, SYMBOLS),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_h"), F.col("_r"), F.col("_p")),
-            "n_stop_words": F.size(short).cast("long"),
-            "n_exclamations": _count_of(t, "!"),
-            "n_lines": F.size("_l").cast("long"),
-        }
-    ).drop("_t", "_w", "_l", "_h", "_s", "_r", "_p")
+    metrics = {
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_symbols": _count_of(t, SYMBOLS),
+        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+        "n_repeat_words": _repeat_words(F.col("_h"), F.col("_r"), F.col("_p")),
+        "n_stop_words": F.size(short).cast("long"),
+        "n_exclamations": _count_of(t, "!"),
+        "n_lines": F.size("_l").cast("long"),
+    }
+    rows = out.select("_doc", F.explode(F.array(F.struct(*[c.alias(k) for k, c in metrics.items()]))).alias("_m"))
+    own = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in METRICS]
+    return rows.select(*own, *[F.col("_m").getField(k).alias(k) for k in METRICS])
 
 
 def verdict(rules: tuple[Rule, ...]) -> Column:
