@@ -47,11 +47,26 @@ def tokenizer():
 
 
 def test_levelled_runs_compact(spark):
-    runs = line_dedup.LevelledRuns(spark, fanout=2)
+    runs = line_dedup.LevelledRuns(spark, min_documents=3, fanout=2)
     for k in range(5):
         runs.add(spark.createDataFrame([(1, 1, 2), (k + 10, k, 1)], "h1 long, h2 long, n long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert [tuple(r) for r in runs.frequent(3).collect()] == [(1, 1)]
+    assert [tuple(r) for r in runs.frequent().collect()] == [(1, 1)]
+
+
+def test_batches_anti_join_the_runs(spark):
+    """A key is counted over all batches; once the runs have settled it, later batches do not write it again."""
+    rng = np.random.default_rng(8)
+    runs, count, settled = line_dedup.LevelledRuns(spark, min_documents=4, fanout=3), Counter(), set()
+    for _ in range(5):
+        batch = Counter(rng.integers(0, 40, 60).tolist())
+        runs.add(spark.createDataFrame([(k, -k, n) for k, n in batch.items()], "h1 long, h2 long, n long"))
+        newest = [p for level in runs.levels for p in level]
+        count.update({k: n for k, n in batch.items() if k not in settled})
+        held = {r.h1: r.n for r in runs._merged(newest).collect()}
+        assert held == dict(count)
+        settled = {k for k, n in count.items() if n >= 4}
+        assert {r.h1 for r in runs.frequent().collect()} == settled
 
 
 def test_packing(spark, odd, tokenizer):
@@ -238,15 +253,65 @@ def test_urls(spark, odd_pages):
     assert Q["op1_link_trust"](spark, f"{odd_pages}/empty").count() == 0
 
 
+def _ranks(n, edges, seeds):
+    m = np.zeros((n, n))
+    for i, j, w in edges:
+        m[j, i] = w
+    return np.linalg.solve(np.eye(n) - 0.85 * m, 0.15 * seeds)
+
+
 def test_spread_is_pagerank(spark):
-    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 0.5), ("b", "a", 0.5), ("c", "a", 1.0)], "src string, dst string, w double")
-    seeds = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 0.0)], "host string, seed double")
-    got = {r.host: r["rank"] for r in link_trust.spread(edges, seeds, 12).collect()}
-    m, s = np.array([[0, 0.5, 1], [1, 0, 0], [0, 0.5, 0]]), np.array([0.15, 0, 0])
-    x = s.copy()
-    for _ in range(12):
-        x = s + 0.85 * m @ x
-    assert np.allclose([got["a"], got["b"], got["c"]], x)
+    """A thousand hosts with hubs, chains, a cycle and hosts without links, against the exact solution."""
+    rng = np.random.default_rng(9)
+    n, pairs = 1000, {(i, i + 1) for i in range(100, 140)} | {(140, 100)}
+    pairs |= {(int(i), int(j)) for i, j in zip(rng.integers(0, 900, 3000), (900 * rng.random(3000) ** 3).astype(int)) if i != j}
+    pairs |= {(7, j) for j in range(200, 500)}
+    out = Counter(i for i, _ in pairs)
+    edges = [(i, j, 1 / out[i]) for i, j in pairs]
+    seeds = (rng.random(n) < 0.1).astype(float)
+    e = spark.createDataFrame([(f"h{i}", f"h{j}", w) for i, j, w in edges], "src string, dst string, w double")
+    s = spark.createDataFrame([(f"h{i}", float(x)) for i, x in enumerate(seeds)], "host string, seed double")
+    got = {r.host: r["rank"] for r in link_trust.spread(e, s).collect()}
+    want = _ranks(n, edges, seeds)
+    assert len(got) == n and sum(abs(got[f"h{i}"] - want[i]) for i in range(n)) <= link_trust.TOLERANCE * want.sum()
+
+
+def test_verdicts_of_a_link_graph(spark, tmp_path):
+    """Pages of three hundred hosts, of repeated and null urls, with a clashing column and a very long page, against numpy."""
+    rng = np.random.default_rng(10)
+    names = [f"{'bad' if i < 40 else 'h'}{i}.{'net' if i < 40 else 'com' if i % 3 else 'org'}" for i in range(300)]
+    rows = []
+    for k in range(1500):
+        i = int(rng.integers(0, 300))
+        to = rng.integers(0, 60, 3) if i % 7 == 0 else rng.integers(0, 300, 2)
+        links = "".join(f'<a href="https://{names[j]}/z">x</a>' for j in to) + ("<p>long</p>" * 20_000 if k == 3 else "")
+        rows.append((k, f"http://{names[i]}/{'es' if i < 40 else 'en'}/{k}", links, "v"))
+    rows += [rows[0], (None, None, None, None)]
+    schema = "page_id long, url string, html string, verdict string"
+    got = link_trust.judge(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == len(rows)
+    at, count = {h: i for i, h in enumerate(names)}, Counter()
+    for _, url, html, _ in rows[:-1]:
+        src = at[url.split("/")[2]]
+        for h in {x for x in re.findall("https://([^/]+)", html)}:
+            if at[h] != src:
+                count[src, at[h]] += 1
+    out, back = Counter(), Counter()
+    for (i, j), m in count.items():
+        out[i] += m
+        back[j] += m
+    good, bad = np.array([float(x.endswith(".com")) for x in names]), np.array([float(x.endswith(".net")) for x in names])
+    trust = _ranks(300, [(i, j, m / out[i]) for (i, j), m in count.items()], good)
+    distrust = _ranks(300, [(j, i, m / back[j]) for (i, j), m in count.items()], bad)
+    seen = Counter()
+    for r in got:
+        if r.page_id is not None and r.rule is None:
+            i = at[r.host]
+            if abs(distrust[i] - link_trust.THRESHOLD) > 0.005 and abs(distrust[i] - trust[i]) > 0.005:
+                want = "block" if distrust[i] >= link_trust.THRESHOLD and distrust[i] > trust[i] else "allow"
+                seen[want] += 1
+                assert r.verdict == want, (r, trust[i], distrust[i])
+    assert min(seen["block"], seen["allow"]) > 10
 
 
 def test_html(spark, odd_pages):

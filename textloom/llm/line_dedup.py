@@ -1,13 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table of (bucket, h1, h2, n), sorted by hash inside each
-hash bucket: a 128-bit hash of a line key and the number of documents that hold
-it. A batch adds one run to level 0; ``fanout`` runs of a level are merged into
-one of the next, so a hash is rewritten once a level. A line goes if all documents
-together hold it often enough, so no batch is judged before the last is added: a
-query counts in a first pass and joins the verdict back in a second. Runs hold hashes and counts, never
-lines, and are written through Spark's committer, so lost executors cost a
-retry only.
+A run is a Parquet table of (h1, h2, n), sorted by hash inside each file: a
+128-bit hash of a line key and the number of documents that hold it. A new
+batch is merge-anti-joined with the runs: keys that are frequent by the runs
+alone are settled and go, whatever is left is the batch's own run at level 0.
+``fanout`` runs of a level are merged into one of the next, so a hash is
+rewritten once a level, and a settled key is never written again.
+
+``add`` takes a batch, ``drop_lines`` judges documents by the runs as they
+stand: after each batch for a growing corpus, after the last for a table, whose
+documents are all counted. Runs hold hashes and counts, never lines, and are
+written through Spark's committer, so lost executors cost a retry only.
 
 A key is the line without ASCII white space at its ends, A-Z lower-cased; keys
 shorter than ``min_length`` code points are never counted. A key's lines go
@@ -31,7 +34,7 @@ from textloom.llm.text_columns import BLANKS, lower_az, text_or_empty
 from textloom.sources.tables import table
 
 MIN_DOCUMENTS, MIN_LENGTH = 10, 1
-#: Level-0 runs that a query's pass over a table writes: batches by document hash.
+#: Batches of documents, by hash, in which a query adds a table.
 BATCHES, FANOUT = 4, 4
 
 
@@ -51,10 +54,10 @@ def key_counts(docs: DataFrame, batch: Column, text: str = "text", min_length: i
 
 
 class LevelledRuns:
-    """The runs in a folder of the shared storage, newest level first."""
+    """The runs in a folder of the shared storage, newest level first, for one threshold."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, min_documents: int = MIN_DOCUMENTS, fanout: int = FANOUT):
+        self.spark, self.min_documents, self.fanout = spark, min_documents, fanout
         self.levels: list[list[str]] = [[]]
 
     def _write(self, counts: DataFrame) -> str:
@@ -66,18 +69,12 @@ class LevelledRuns:
         return self.spark.read.schema("h1 long, h2 long, n long").parquet(*paths)
 
     def add(self, counts: DataFrame) -> None:
-        """Adds a batch's counts as a run, and compacts the levels that are full."""
+        """A batch's counts (h1, h2, n), without the keys that the runs have settled, as a run; then compacts the levels that are full."""
+        if any(self.levels):
+            counts = counts.join(self.frequent().hint("merge"), ["h1", "h2"], "left_anti")
         self.levels[0].append(self._write(counts))
         self._compact()
 
-    def add_split(self, counts: DataFrame, batches: int) -> None:
-        """Adds a run for each batch from one pass over their common counts."""
-        root = storage.new_path(self.spark, "runs")
-        counts.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").parquet(root)
-        for x in sorted(r[0] for r in self.spark.read.schema("h1 long, h2 long, n long, batch int").parquet(root).select("batch").distinct().limit(batches).collect()):
-            self.levels[0].append(f"{root}/batch={x}")
-            self._compact()
-
     def _merged(self, paths: list[str]) -> DataFrame:
         return self._read(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
@@ -91,13 +88,13 @@ class LevelledRuns:
                     storage.discard(self.spark, path)
                 self.levels[k] = []
 
-    def frequent(self, min_documents: int) -> DataFrame:
-        """Hashes that the runs count in so many documents; reads the single run as it is."""
+    def frequent(self) -> DataFrame:
+        """Hashes that the runs count in min_documents or more; reads a single run as it is."""
         paths = [p for level in self.levels for p in level]
         if not paths:
             return self.spark.createDataFrame([], "h1 long, h2 long")
         runs = self._read(paths) if len(paths) == 1 else self._merged(paths)
-        return runs.filter(F.col("n") >= min_documents).select("h1", "h2")
+        return runs.filter(F.col("n") >= self.min_documents).select("h1", "h2")
 
 
 def drop_lines(docs: DataFrame, frequent: DataFrame, row_id: Column, text: str = "text") -> DataFrame:
@@ -114,13 +111,22 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, row_id: Column, text: str =
     return both.select("_doc", n.alias("_n_lines"), (n - m).alias("_n_dropped"), F.array_join("_left", "\n").alias("_kept"))
 
 
+def batches(docs: DataFrame, row_id: Column, n: int = BATCHES, text: str = "text", min_length: int = MIN_LENGTH) -> list[DataFrame]:
+    """The counts of n batches of documents, dealt by hash: one pass over the texts, written by batch in the shared folder."""
+    spark = docs.sparkSession
+    batch = F.pmod(F.xxhash64(row_id), F.lit(n)).cast("int")
+    root = storage.new_path(spark, "batches")
+    key_counts(docs, batch, text, min_length).write.partitionBy("batch").parquet(root)
+    counts = spark.read.schema("h1 long, h2 long, n long, batch int").parquet(root)
+    return [counts.filter(F.col("batch") == k).drop("batch") for k in range(n)]
+
+
 def dedup(docs: DataFrame, row_id: Column, text: str = "text", min_documents: int = MIN_DOCUMENTS, min_length: int = MIN_LENGTH) -> DataFrame:
-    """The whole table in BATCHES runs, compacted into one; then every document without its frequent lines."""
-    runs = LevelledRuns(docs.sparkSession, FANOUT)
-    batch = F.pmod(F.xxhash64(row_id), F.lit(BATCHES)).cast("int")
-    runs.add_split(key_counts(docs, batch, text, min_length), BATCHES)
-    frequent = storage.materialize(runs.frequent(min_documents), "frequent")
-    return drop_lines(docs, frequent, row_id, text)
+    """The whole table in BATCHES batches, each anti-joined with the runs before it; then every document without its frequent lines."""
+    runs = LevelledRuns(docs.sparkSession, min_documents)
+    for counts in batches(docs, row_id, BATCHES, text, min_length):
+        runs.add(counts)
+    return drop_lines(docs, storage.materialize(runs.frequent(), "frequent"), row_id, text)
 
 
 def _row_id(docs: DataFrame) -> Column:

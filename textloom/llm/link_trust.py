@@ -14,7 +14,9 @@ edges are the absolute links of all pages, summed by pair of hosts:
 Seeds are shares, not normalised over hosts, so the threshold means the same at
 every size: with no links a host is blocked once half of its pages are. Each
 round joins edges with ranks and sums by host on the map side first; every few
-rounds the ranks are written to the shared folder. Pages meet their host's
+rounds the ranks are written to the shared folder, until what is still to come is
+at most TOLERANCE of all rank: what a round adds in sum falls by the damping, so
+that is the last addition times damping / (1 - damping). Pages meet their host's
 verdict by a join whose sides AQE can split, for hosts with very many pages.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path
@@ -34,7 +36,8 @@ from textloom import storage
 from textloom.llm.text_columns import lower_az
 from textloom.sources.tables import table
 
-DAMPING, ROUNDS, WRITE_EVERY = 0.85, 12, 4
+DAMPING, WRITE_EVERY = 0.85, 4
+TOLERANCE = 1e-3
 THRESHOLD = (1 - DAMPING) * 0.5
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -80,16 +83,27 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return one.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank) by rank = (1 - damping) seed + damping * sum of the ranks that flow in. edges: (src, dst, w), w sums to 1 a src."""
+def spread(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """(host, rank) by rank = (1 - damping) seed + damping * sum of the ranks that flow in. edges: (src, dst, w), w sums to 1 a src.
+
+    Rounds go on until what is still to come, over all hosts, is at most that share of all rank.
+    """
     base = seeds.select("host", (F.lit(1 - damping) * F.col("seed")).alias("base"))
+    old = path = None
     rank = base.select("host", F.col("base").alias("rank"))
-    for k in range(rounds):
-        flow = edges.join(rank, edges["src"] == rank["host"]).groupBy("dst").agg(F.sum(F.col("w") * F.col("rank")).alias("flow"))
-        rank = base.join(flow, base["host"] == flow["dst"], "left").select("host", (F.col("base") + F.lit(damping) * F.coalesce("flow", F.lit(0.0))).alias("rank"))
-        if k % WRITE_EVERY == WRITE_EVERY - 1:
-            rank = storage.materialize(rank, "rank")
-    return rank
+    while True:
+        for _ in range(WRITE_EVERY):
+            flow = edges.join(rank, edges["src"] == rank["host"]).groupBy("dst").agg(F.sum(F.col("w") * F.col("rank")).alias("flow"))
+            rank = base.join(flow, base["host"] == flow["dst"], "left").select("host", (F.col("base") + F.lit(damping) * F.coalesce("flow", F.lit(0.0))).alias("rank"))
+        before = base.select("host", F.col("base").alias("was")) if old is None else old.select("host", F.col("rank").alias("was"))
+        new, at = storage.write_table(rank.join(before, "host"), "rank")
+        if path:
+            storage.discard(edges.sparkSession, path)
+        path = at
+        rank = old = new.select("host", "rank")
+        total, risen = new.agg(F.sum("rank"), F.sum(F.abs(F.col("rank") - F.col("was")))).first()
+        if (risen or 0.0) * damping / (1 - damping) <= tolerance * (total or 0.0):
+            return rank
 
 
 def _shares(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -103,15 +117,11 @@ def host_verdicts(judged: DataFrame, edges: DataFrame, threshold: float = THRESH
     is_ = lambda v: F.avg(F.when(F.col("by_rule") == v, 1.0).otherwise(0.0))
     hosts = judged.groupBy("host").agg(is_("allow").alias("good"), is_("block").alias("bad"))
     edges = storage.materialize(edges, "links")
-    if edges.isEmpty():
-        hosts = hosts.select("host", (F.lit(1 - DAMPING) * F.col("good")).alias("trust"), (F.lit(1 - DAMPING) * F.col("bad")).alias("distrust"))
-    else:
-        named = edges.select(F.col("src").alias("host")).union(edges.select(F.col("dst").alias("host"))).distinct()
-        hosts = hosts.join(named, "host", "full").na.fill(0.0, ["good", "bad"])
-        hosts = storage.materialize(hosts, "hosts")
-        trust = spread(_shares(edges, "src", "dst"), hosts.select("host", F.col("good").alias("seed"))).withColumnRenamed("rank", "trust")
-        distrust = spread(_shares(edges, "dst", "src"), hosts.select("host", F.col("bad").alias("seed"))).withColumnRenamed("rank", "distrust")
-        hosts = trust.join(distrust, "host")
+    named = edges.select(F.col("src").alias("host")).union(edges.select(F.col("dst").alias("host"))).distinct()
+    hosts = storage.materialize(hosts.join(named, "host", "full").na.fill(0.0, ["good", "bad"]), "hosts")
+    trust = spread(_shares(edges, "src", "dst"), hosts.select("host", F.col("good").alias("seed"))).withColumnRenamed("rank", "trust")
+    distrust = spread(_shares(edges, "dst", "src"), hosts.select("host", F.col("bad").alias("seed"))).withColumnRenamed("rank", "distrust")
+    hosts = trust.join(distrust, "host")
     bad = (F.col("host") != "") & (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     return hosts.withColumn("verdict", F.when(bad, "block").otherwise("allow"))
 

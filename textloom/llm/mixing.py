@@ -12,7 +12,7 @@
    the end; those beyond it are unused, and the last is cut to the target.
 3. A source's documents, shuffled by hash, form a stream, read REPEAT times over
    and cut into blocks of equal words. Slot of rank r takes block r, by a join.
-4. The mix is the blocks in order of their slots. ``mix`` gives each part of a
+4. The mix is the blocks in order of their slots; ``first_slot`` is a document's earliest, null if nothing is taken. ``mix`` gives each part of a
    document its slot and its place in the block; ``apply`` writes rows in that
    order, a document whole at the slot of the first word that is read of it.
 
@@ -161,7 +161,8 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, r
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    first = F.array_min(F.transform("parts", lambda p: p["slot"])).alias("first_slot")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", first)
 
 
 def take_words(text: Column, at: Column, words: Column) -> Column:
@@ -192,8 +193,9 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     return out.orderBy("_first").select(*names)
 
 
-#: The same mix in closed form: the words taken of a source are the first of its stream, read twice over.
-SQL = r"""
+#: Without blocks: the words taken of a source are the first of its stream, read twice over; block r of a source is at
+#: the slot of the r-th point that falls in its stretch, and past the points at the slots added at the end.
+SQL = rf"""
 with d as (select doc_id, source, case when trim(coalesce(text, ''), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) = '' then 0
         else len(regexp_split_to_array(trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\x20\x09-\x0D]+')) end::bigint as size
       from documents),
@@ -213,8 +215,17 @@ o as (select d.*, source_size, coalesce(target, 2.0::double * source_size) as ta
       select d.*, source_size, coalesce(target, 2.0::double * source_size), floor(coalesce(target, 2.0::double * source_size) + 0.5)::bigint,
         coalesce(sum(size) over (order by md5('mixing:' || coalesce(doc_id::varchar, '')), doc_id nulls first, size
                                  rows between unbounded preceding and 1 preceding), 0)::bigint
-      from d, g where d.source is null and g.source is null)
+      from d, g where d.source is null and g.source is null),
+q as (select source, quota, (quota + {BLOCK_WORDS} - 1) // {BLOCK_WORDS} as n_slots, floor((sum(quota) over w)::double / (sum(quota) over ())::double * {SPAN})::bigint as hi
+      from (select source, floor(coalesce(target, 2.0::double * source_size) + 0.5)::bigint as quota from g) where quota > 0 window w as (order by source nulls last rows unbounded preceding)),
+q2 as (select *, coalesce(lag(hi) over (order by source nulls last), 0) as lo, (sum(n_slots) over ())::bigint as n from q),
+pt as (select j, ((j::hugeint * {STEP}) % {SPAN})::bigint as p from (select unnest(range((select coalesce(max(n), 0) from q2))) as j)),
+hit as (select source, j as slot, row_number() over (partition by source order by j) - 1 as r from pt join q2 on p >= lo and p < hi),
+m as (select q2.source, any_value(n_slots) as n_slots, any_value(n) as n, count(hit.slot) as made from q2 left join hit on hit.source is not distinct from q2.source group by q2.source),
+short as (select *, n + coalesce(sum(n_slots - made) over (order by source nulls last rows between unbounded preceding and 1 preceding), 0) as first from m where made < n_slots),
+slots as (select * from hit union all select source, first + r - made as slot, r from (select *, unnest(range(made, n_slots)) as r from short))
 select doc_id, size, source_size, target,
-  (greatest(0, least(a + size, quota) - a) + greatest(0, least(source_size + a + size, quota) - source_size - a))::bigint as taken
-from o
+  (greatest(0, least(a + size, quota) - a) + greatest(0, least(source_size + a + size, quota) - source_size - a))::bigint as taken,
+  case when size > 0 and a < quota then slot end::bigint as first_slot
+from o left join slots on slots.source is not distinct from o.source and slots.r = o.a // {BLOCK_WORDS}
 """
