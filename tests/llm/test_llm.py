@@ -356,6 +356,67 @@ def test_class_names_are_a_soft_cost():
     assert not min_cut.label(found[1:2], min_cut.PRIOR)[0]  # alone it goes: its neighbours hold it
 
 
+_ARTICLE = ["A title of the page", "This is the article, and it has sentences that say something. They go on for a while, as they do.", "Quite so", "It goes on, with more of the same matter; nobody knows why.", "And here it ends, after all that was to be said."]
+
+
+def _page(kind):
+    """Pages of several make-ups around one article: menus, adverts, notices, forms, comments and footers, marked by elements, by names or not at all."""
+    h, *ps = _ARTICLE
+    body = f"<h1>{h}</h1>" + "".join(f"<p>{x}</p>" for x in ps)
+    links = "".join(f"<li><a href='/{k}'>Link {k}</a></li>" for k in range(6))
+    more = "<p>Read our other stories about the sea, the hills and the towns, today.</p>"
+    return {
+        "landmarks": f"<body><header><h2>My site</h2></header><nav><ul>{links}</ul></nav><main>{body}</main><aside>{more}</aside><footer><p>All of it is ours, and nobody else's.</p></footer></body>",
+        "inside": f"<body><article>{body}<form><p>Give us your address, please.</p></form><div class='comments'><p>What a fine article this is, thank you.</p><p>I do not agree with it at all, to be honest.</p></div></article></body>",
+        "names": f"<body><div class='top-nav nav'><ul>{links}</ul></div><div class='cookie-notice notice'>We use cookies, as you know.</div><div class='entry-content'>{body}</div><div id='sidebar' class='sidebar'>{more}</div><div class='footer'>All of it is ours, and nobody else's.</div></body>",
+        "bare": f"<body><div><ul>{links}</ul></div><div>{body}</div><div><ul>{links}</ul></div></body>",
+        "hidden": f"<body><script>var a = '<p>no</p>'</script><style>p {{}}</style><main>{body}<p hidden>Not shown, as it were.</p></main><div style='display: none'>{more}</div></body>",
+    }[kind]
+
+
+@pytest.fixture(scope="session")
+def weights(spark, small):
+    return min_cut.fit([r.html for r in table(spark, small, "pages").limit(40).collect()])
+
+
+@pytest.mark.parametrize("kind", ["landmarks", "inside", "names", "bare", "hidden"])
+def test_kinds_of_pages(weights, kind):
+    for w in (min_cut.PRIOR, weights):
+        assert min_cut.main_text(_page(kind), w) == "\n".join(_ARTICLE)
+
+
+def test_the_cut_decides(spark, small, weights):
+    """On pages it was not fitted on, the classifier alone mistakes blocks that the cut labels right."""
+    flips = n = wrong = 0
+    for r in table(spark, small, "pages").collect()[40:]:
+        page = min_cut.blocks(r.html)
+        got, form = min_cut.label(page, weights), min_cut.odds(page, weights) > 0
+        n, flips = n + len(page), flips + int(sum(a != b for a, b in zip(got, form)))
+        wrong += sum(a != (b.main and not b.away) for a, b in zip(got, page))
+    assert wrong == 0 and flips > 0.02 * n
+    # without any mark, edges alone: a short line with a link, between paragraphs
+    page = min_cut.blocks(_page("bare").replace("Quite so", "<a href='/more'>Quite</a> so"))
+    form, got = (min_cut.odds(page, weights) > 0).tolist(), min_cut.label(page, weights)
+    assert [b.text for b, x in zip(page, got) if x] == _ARTICLE
+    assert [b.text for b, x, y in zip(page, form, got) if x != y] == ["Quite so"]
+
+
+def test_settling_keeps_the_minimum(weights):
+    for kind in ("landmarks", "inside", "names", "bare"):
+        page = min_cut.blocks(_page(kind))
+        assert min_cut.label(page, weights) == min_cut.label(page, weights, settle=False)
+
+
+def test_odd_pages(spark, tmp_path, weights):
+    """Repeated rows, clashing extra columns, nulls and a page of two hundred thousand elements."""
+    deep = "<div>" * 3000 + "<p>Deep down there is a sentence.</p>" + "</div>" * 3000
+    long = "<main>" + "<p>This is one of very many paragraphs.</p>" * 100_000 + "</main>"
+    rows = [(1, None, "<main><p>a &lt; b</p></main>", "t", 1), (1, None, "<main><p>a &lt; b</p></main>", "t", 1), (None, "u", None, None, None), (2, "u", deep, "t", 2), (3, "u", long, "t", 3)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter((r.page_id, r.url, r.n_chars) for r in Q["op5_html_extraction"](spark, str(tmp_path)).collect())
+    assert got == Counter({(1, None, 5): 2, (None, "u", 0): 1, (2, "u", len("Deep down there is a sentence.")): 1, (3, "u", 100_000 * len("This is one of very many paragraphs.\n") - 1): 1})
+
+
 def test_min_cut_is_least():
     rng = np.random.default_rng(4)
     for _ in range(20):

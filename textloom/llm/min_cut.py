@@ -1,18 +1,28 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks of text at block-level tags. A logistic classifier of
-structure (tag context, class names, link density, length) gives each block the
-costs of the labels content and boilerplate: the capacities to the two
-terminals. Blocks next to one another, and blocks that follow one another under
-one parent, are joined by smoothness edges. The minimum cut, by maximum flow,
-is the cheapest labelling of the page as a whole. Blocks whose costs differ by
-more than all their edges are settled first, which leaves the minimum as it is.
-
-The classifier is fitted on at most SAMPLE pages of least hash, with labels
-from their own semantic tags and a prior that holds for tags the sample lacks.
-Class names and ids that speak of boilerplate, as whole tokens, are a cost that the
-cut can outweigh. They do not reach into a <main> or <article> below, and blocks
-that have them are not trained on, so that their weight is the prior's.
+A page is cut into blocks of text at block-level tags; each is a node.
+
+* Terminals. A logistic classifier of a block's own form and its neighbours'
+  (link density, length, punctuation, kind of tag, place in the page) gives the
+  costs of calling it content or boilerplate.
+* Smoothness. Blocks next to one another are joined by an edge that falls with
+  their distance in the tree of elements, and so are blocks that follow one
+  another under one parent. Where one stands in a part of the page that the
+  other does not, or only one has a telling class name, the edge is BORDER of it.
+* Seeds. The parts that the page itself marks (main and article; nav, footer
+  and the like; what lies outside of the page's main part; class names and ids
+  that speak of boilerplate or of content, as whole tokens) are tied to the
+  content or the boilerplate side by membership edges, which no block's form
+  alone outweighs, but a class name's can be by its neighbours.
+
+The minimum cut, by maximum flow, is the cheapest labelling of the page as a
+whole. Blocks whose costs differ by more than all their edges are settled first,
+which leaves the minimum as it is.
+
+The classifier is fitted on at most SAMPLE pages of least hash. Its labels are
+the marked parts, which are not among its features, so it carries over to pages
+that mark nothing; PRIOR holds where the sample says little. Class names do not
+reach into a <main> or <article> below, and named blocks are not trained on.
 
 Pages are independent rows: no shuffle, and memory of one page. Defined cases:
 null or empty html gives an empty text; broken markup is read as browsers do,
@@ -38,7 +48,10 @@ from textloom.llm.sampling import least_hash
 from textloom.sources.tables import table
 
 SAMPLE = 300
-NEXT, SIBLING = 0.5, 0.5
+#: Edges of adjacency and of siblings, and the share of one that crosses a border; bound of the classifier's log odds.
+NEXT, SIBLING, BORDER, SURE = 0.5, 0.6, 0.5, 3.0
+#: Membership edges: in a marked boilerplate part, in the main part, outside of it, with a bad name, with a good one.
+AWAY_EDGE, MAIN_EDGE, OUTSIDE_EDGE, BAD_EDGE, GOOD_EDGE = 8.0, 3.5, 4.5, 6.8, 2.0
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title")}
 #: Elements whose text is not shown; they stand inside a line, and one that is never closed holds nothing.
@@ -63,6 +76,7 @@ _BAD = re.compile(
     r"widget|toolbar|pagination|pager|login|search|skip|disclaimer|copyright|outbrain|taboola|paywall)",
     re.I,
 )
+_GOOD = re.compile(r"(?:main-?content|content|post-?(?:body|content|text)|entry-?(?:body|content|text)|article-?(?:body|content|text)|story-?(?:body|text)|article|post|entry|story)", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
@@ -75,6 +89,9 @@ class Block:
     linked: int
     parent: int
     named: bool = False
+    good: bool = False
+    #: Elements between this block and the one before it: 2 for neighbours under one parent.
+    far: int = 2
 
 
 def _drawn(m: re.Match) -> bool:
@@ -104,21 +121,23 @@ def _never_closed(page: str) -> set[int]:
 def blocks(page: str | None) -> list[Block]:
     """Blocks with text, in page order; white space inside one is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int, bool]] = [("", False, False, 0, False)]  # tag, away, main, number, named
+    stack: list[tuple[str, bool, bool, int, bool, bool]] = [("", False, False, 0, False, False)]  # tag, away, main, number, named, good
     parts: list[str] = []
-    number = linked = link = at = 0
+    number = linked = link = at = low = last = 0
     page = page or ""
     void = _never_closed(page)
     #: Of each MUTE element that stands open: its place in the stack, and the text and links that it interrupts.
     muted: list[tuple[int, list[str], int, int]] = []
 
     def flush() -> None:
-        nonlocal parts, linked
+        nonlocal parts, linked, low, last
         if parts and not muted:
             text = " ".join("".join(parts).split())
             if text:
-                tag, away, main, _, named = stack[-1]
-                out.append(Block(text, tag, away, main, linked, stack[-2][3] if len(stack) > 1 else 0, named))
+                tag, away, main, _, named, good = stack[-1]
+                low = min(low, len(stack))
+                out.append(Block(text, tag, away, main, linked, stack[-2][3] if len(stack) > 1 else 0, named, good, last + len(stack) - 2 * low))
+                low = last = len(stack)
         parts, linked = [], 0
 
     def add(s: str) -> None:
@@ -129,13 +148,14 @@ def blocks(page: str | None) -> list[Block]:
             linked += len(s.strip())
 
     def close(k: int) -> None:
-        nonlocal parts, linked, link
+        nonlocal parts, linked, link, low
         while muted and muted[-1][0] >= k:
             j, parts, linked, link = muted.pop()
             del stack[j:]
         if len(stack) > k:
             flush()
             del stack[k:]
+        low = min(low, len(stack))
 
     pos, find = 0, _TAG.search
     while m := find(page, pos):
@@ -161,7 +181,7 @@ def blocks(page: str | None) -> list[Block]:
             if m.start() not in void and not _drawn(m):
                 number += 1
                 muted.append((len(stack), parts, linked, link))
-                stack.append((tag, True, stack[-1][2], number, stack[-1][4]))
+                stack.append((tag, True, stack[-1][2], number, stack[-1][4], stack[-1][5]))
                 parts, linked, link = [], 0, 0
             continue
         if muted and stack[muted[-1][0]][0] == "svg":  # as browsers do, a block of the page ends a drawing
@@ -195,7 +215,7 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[k][0] in _CLOSES[tag]:
                     close(k)
                     break
-        _, away, main, _, named = stack[-1]
+        _, away, main, _, named, good = stack[-1]
         named = named and tag not in MAIN
         main = main or tag in MAIN
         away = away or tag in AWAY or (tag == "header" and not main)
@@ -207,14 +227,15 @@ def blocks(page: str | None) -> list[Block]:
                 main, named = True, False
             elif tag not in ("html", "body", "article", "main"):
                 named = named or any(_BAD.fullmatch(x) or (not main and x.lower() == "header") for x in label)
+                good = good or any(_GOOD.fullmatch(x) for x in label)
                 away = away or role in _ROLES
             away = away or _hidden(m[3])
         if tag == "body":  # what stands open from the head is closed
             close(1)
         number += 1
-        stack.append((tag, away, main, number, named))
+        stack.append((tag, away, main, number, named, good))
         if tag in ("html", "body", "head"):
-            stack[-1] = (tag, tag == "head", False, number, False)
+            stack[-1] = (tag, tag == "head", False, number, False, False)
     if at < len(page):
         add(page[at:])
     close(1)
@@ -229,24 +250,34 @@ def _hidden(attributes: str) -> bool:
     return "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
 
 
-#: bias, away, main, outside of the page's main part, link density, length, sentence end, heading, list item, class name.
-PRIOR = np.array([-0.5, -14.0, 4.0, -5.0, -4.0, 1.0, 1.0, 1.0, -0.5, -7.0])
-
-
-def features(page: list[Block]) -> np.ndarray:
-    has = any(b.main for b in page)
-    rows = []
-    for b in page:
-        n = len(b.text)
-        rows.append((1.0, b.away, b.main, has and not b.main, min(1.0, b.linked / n), min(2.0, math.log1p(n) / 4), b.text[-1] in ".!?:…\"'”’»)", b.tag in _HEADS, b.tag == "li", b.named))
-    return np.array(rows, float).reshape(len(rows), len(PRIOR))
-
-
 _HEADS = frozenset(f"h{k}" for k in range(1, 7))
+_END = frozenset(".!?:…\"'”’»)")
+_COMMAS = re.compile(r"[,;]")
+#: bias, link density, length, sentence end, commas, heading, list item, paragraph, letters after a sign, place in the
+#: page, squared, and of the blocks before and after: link density, length, paragraph.
+PRIOR = np.array([-1.5, -4.0, 1.2, 1.2, 0.4, 0.5, -0.5, 0.8, -1.0, 0.0, 0.0, -0.8, 0.4, 0.3])
 
 
-def fit(pages: list[str | None], rounds: int = 200, rate: float = 0.5, hold: float = 0.05) -> np.ndarray:
-    """Logistic weights by gradient descent; labels: in the main part and not in an excluded one. hold draws to PRIOR."""
+def features(page: list[Block]) -> np.ndarray:
+    """A row a block: its form and that of the blocks on both sides; nothing of the parts and names that make labels."""
+    n = len(page)
+    if not n:
+        return np.zeros((0, len(PRIOR)))
+    size = np.array([len(b.text) for b in page], float)
+    link = np.minimum(1.0, np.array([b.linked for b in page]) / size)
+    long = np.minimum(2.0, np.log1p(size) / 4)
+    is_p = np.array([b.tag == "p" for b in page], float)
+    ends = np.array([b.text[-1] in _END for b in page], float)
+    commas = np.minimum(2.0, np.array([len(_COMMAS.findall(b.text)) for b in page]) / (size / 60 + 1))
+    sign = np.array([not b.text[0].isalnum() for b in page], float)
+    place = (np.arange(n) + 0.5) / n
+    around = lambda v: (np.concatenate([v[:1] * 0, v[:-1]]) + np.concatenate([v[1:], v[:1] * 0])) / 2
+    kind = lambda tags: np.array([b.tag in tags for b in page], float)
+    return np.stack([np.ones(n), link, long, ends, commas, kind(_HEADS), kind({"li"}), is_p, sign, place, place * place, around(link), around(long), around(is_p)], 1)
+
+
+def fit(pages: list[str | None], rounds: int = 300, rate: float = 0.5, hold: float = 0.01) -> np.ndarray:
+    """Logistic weights by gradient descent; labels: in the page's main part and not in one that it marks otherwise. hold draws to PRIOR."""
     x, y = [], []
     for p in map(blocks, pages):
         if any(b.main for b in p):
@@ -261,6 +292,32 @@ def fit(pages: list[str | None], rounds: int = 200, rate: float = 0.5, hold: flo
     return w
 
 
+def odds(page: list[Block], w: np.ndarray) -> np.ndarray:
+    """The classifier's log odds of content, within SURE."""
+    return np.clip(features(page) @ w, -SURE, SURE)
+
+
+def seeds(page: list[Block]) -> tuple[list[float], list[float]]:
+    """Membership edges of each block to the content and to the boilerplate side."""
+    has = any(b.main and not b.away for b in page)
+    content = [MAIN_EDGE * b.main + GOOD_EDGE * (b.good and not has) for b in page]
+    return content, [AWAY_EDGE * b.away + OUTSIDE_EDGE * (has and not b.main) + BAD_EDGE * b.named for b in page]
+
+
+def smoothness(page: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges (i, j, capacity) of neighbours in the page and under a parent."""
+    part = [(b.main, b.away, b.named) for b in page]
+    cross = lambda i, j: 1.0 if part[i] == part[j] else BORDER
+    edges, last = [], {}
+    for j, b in enumerate(page):
+        if j:
+            edges.append((j - 1, j, NEXT * cross(j - 1, j) * (2 / max(2, b.far)) ** 2))
+        if b.parent in last and last[b.parent] < j - 1:
+            edges.append((last[b.parent], j, SIBLING * cross(last[b.parent], j)))
+        last[b.parent] = j
+    return edges
+
+
 def max_flow(n: int, source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Dinic: True for the nodes on the source's side of a minimum cut. source and sink: terminal capacities; edges go both ways."""
     s, t = n, n + 1
@@ -324,14 +381,10 @@ def label(page: list[Block], w: np.ndarray, settle: bool = True) -> list[bool]:
     n = len(page)
     if not n:
         return []
-    z = np.clip(features(page) @ w, -20, 20)
-    keep, drop = np.logaddexp(0, z).tolist(), np.logaddexp(0, -z).tolist()  # cost of calling it boilerplate; content
-    edges, last = [(i, i + 1, NEXT) for i in range(n - 1)], {}
-    for i, b in enumerate(page):
-        if b.parent in last and last[b.parent] < i - 1:
-            edges.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
-    weight = [0.0] * n
+    z, (content, boilerplate) = odds(page, w), seeds(page)
+    keep = [a + b for a, b in zip(np.logaddexp(0, z).tolist(), content)]  # cost of calling it boilerplate
+    drop = [a + b for a, b in zip(np.logaddexp(0, -z).tolist(), boilerplate)]  # content
+    edges, weight = smoothness(page), [0.0] * n
     for u, v, c in edges:
         weight[u] += c
         weight[v] += c
