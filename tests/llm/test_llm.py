@@ -92,6 +92,46 @@ def test_packing(spark, odd, tokenizer):
     assert Q["op4_packing"](spark, f"{odd}/empty").count() == 0
 
 
+def check_examples(got, turns, tokenizer, limits=(2048, 32, 1024)):
+    """Every id of every turn in one piece; sequences gapless and within the three limits; conversations whole that fit, else cut into examples that do."""
+    want, have, sequences, homes = Counter(), Counter(), defaultdict(list), defaultdict(set)
+    sizes = defaultdict(lambda: np.zeros(3, int))
+    for conv, turn, role, text in turns:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        sizes[conv] += np.array([len(ids), 1, len(ids) * (role == "assistant")])
+        most = 1024 if role == "assistant" else 2048
+        for a in range(0, len(ids), most):
+            p = ids[a : a + most]
+            want[conv, turn, a, len(p), zlib.crc32(p.tobytes()), len(p) * (role == "assistant")] += 1
+    for r in got:
+        have[r.conv_id, r.turn, r.start, r.length, r.ids_crc32, r.loss_tokens] += 1
+        sequences[r.sequence_id].append((r.segment, r.offset, r.length, r.loss_tokens))
+        homes[r.conv_id].add(r.sequence_id)
+    assert have == want
+    for parts in sequences.values():
+        at = 0
+        for k, (segment, offset, length, _) in enumerate(sorted(parts)):
+            assert (segment, offset) == (k, at)
+            at += length
+        assert at <= limits[0] and len(parts) <= limits[1] and sum(p[3] for p in parts) <= limits[2]
+    for conv, size in sizes.items():
+        assert conv is None or (size > limits).any() or len(homes[conv]) == 1
+
+
+def test_conversations(spark, small, tokenizer, tmp_path):
+    rows = [tuple(r) for r in table(spark, small, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    got = Q["conversation_packing"](spark, small).collect()
+    check_examples(got, rows, tokenizer)
+    long = " ".join(f"word{i}" for i in range(9000))
+    odd = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, None, None), (2, None, "user", ""), (None, 1, "assistant", "a b"), (None, 1, "assistant", "a b"), (3, 0, "user", "x"), (3, 0, "user", "x")]
+    odd += [(4, t, "assistant" if t % 2 else "user", f"turn {t} says so") for t in range(1500)] + [(k, 1, "assistant", "so it is " * 90) for k in range(10, 60)]
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame([(*r, "x", 7) for r in odd], schema + ", sequence_id string, length long").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    check_examples(Q["conversation_packing"](spark, str(tmp_path)).collect(), odd, tokenizer)
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/e/conversations.parquet")
+    assert Q["conversation_packing"](spark, f"{tmp_path}/e").count() == 0
+
+
 def test_dot_product_pack_holds_limits():
     rng = np.random.default_rng(1)
     sizes = np.stack([rng.integers(1, 900, 300), rng.integers(1, 5, 300), rng.integers(0, 500, 300)], 1)

@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_near_duplicates": dart_minhash.op10_near_duplicates,
+    "conversation_packing": packing.conversation_packing,
 }
 #: The others cannot be put in SQL; tests hold them against brute force.
 ORACLE = {
