@@ -154,6 +154,24 @@ def test_token_files(spark, odd, tokenizer):
     assert Q["op6_token_files"](spark, f"{odd}/empty").count() == 0
 
 
+def test_token_files_of_repeated_ids(spark, tmp_path, tokenizer, monkeypatch):
+    """Ids that fill many ranges, null ones too, are dealt over them; the order of ids holds."""
+    monkeypatch.setattr(token_files, "RANGE_DOCS", 8)
+    ids = [None] * 60 + [7] * 80 + list(range(60)) + [(1 << 60) + k % 3 for k in range(60)]
+    spark.createDataFrame([(d, f"text number {k} of them") for k, d in enumerate(ids)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    files, rank = token_files.write_files(table(spark, str(tmp_path), "documents"), token_codes.default_path())
+    per = sorted(r["count"] for r in files.groupBy("range").count().collect())
+    assert len(per) > 20
+    got = sorted(token_files.read_files(files, rank).collect(), key=lambda r: r.start)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in got] == sorted(ids, key=lambda d: (d is not None, d or 0))
+    want = Counter(zlib.crc32(np.array([*tokenizer.encode(f"text number {k} of them", add_special_tokens=False).ids, 2], "<u4").tobytes()) for k in range(len(ids)))
+    assert Counter(r.ids_crc32 for r in got) == want
+
+
 def test_code_round_trip():
     v = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 7, 0], np.uint32)
     c, d = token_files.encode(v)

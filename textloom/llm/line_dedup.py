@@ -46,11 +46,12 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
 
 
-def key_counts(docs: DataFrame, batch: Column, text: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
-    """(batch, h1, h2, n): documents of each batch that hold each key."""
+def key_counts(docs: DataFrame, batch: Column, text: str = "text", min_length: int = MIN_LENGTH, same: Column | None = None) -> DataFrame:
+    """(batch, h1, h2, n): documents of each batch that hold each key; those with the same value of ``same`` count once."""
     keys = F.array_distinct(F.filter(line_keys(text_or_empty(F.col(text))), lambda k: F.length(k) >= min_length))
-    one = docs.select(batch.alias("batch"), F.explode(F.transform(keys, _hash)).alias("k"))
-    return one.groupBy("batch", "k.h1", "k.h2").agg(F.count(F.lit(1)).alias("n"))
+    more = [] if same is None else [same.alias("same")]
+    one = docs.select(batch.alias("batch"), *more, F.explode(F.transform(keys, _hash)).alias("k")).select("batch", *[c for c in ("same",) if more], "k.h1", "k.h2")
+    return (one.distinct() if more else one).groupBy("batch", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
 
 
 class LevelledRuns:
@@ -111,20 +112,24 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, row_id: Column, text: str =
     return both.select("_doc", n.alias("_n_lines"), (n - m).alias("_n_dropped"), F.array_join("_left", "\n").alias("_kept"))
 
 
-def batches(docs: DataFrame, row_id: Column, n: int = BATCHES, text: str = "text", min_length: int = MIN_LENGTH) -> list[DataFrame]:
-    """The counts of n batches of documents, dealt by hash: one pass over the texts, written by batch in the shared folder."""
+def batches(docs: DataFrame, row_id: Column, n: int = BATCHES, text: str = "text", min_length: int = MIN_LENGTH, copies_once: bool = False) -> list[DataFrame]:
+    """The counts of n batches of documents, dealt by hash: one pass over the texts, written by batch in the shared folder.
+
+    copies_once: documents of equal text are of one batch and count as one.
+    """
     spark = docs.sparkSession
-    batch = F.pmod(F.xxhash64(row_id), F.lit(n)).cast("int")
+    same = F.xxhash64(text_or_empty(F.col(text))) if copies_once else None
+    batch = F.pmod(F.xxhash64(row_id) if same is None else same, F.lit(n)).cast("int")
     root = storage.new_path(spark, "batches")
-    key_counts(docs, batch, text, min_length).write.partitionBy("batch").parquet(root)
+    key_counts(docs, batch, text, min_length, same).write.partitionBy("batch").parquet(root)
     counts = spark.read.schema("h1 long, h2 long, n long, batch int").parquet(root)
     return [counts.filter(F.col("batch") == k).drop("batch") for k in range(n)]
 
 
-def dedup(docs: DataFrame, row_id: Column, text: str = "text", min_documents: int = MIN_DOCUMENTS, min_length: int = MIN_LENGTH) -> DataFrame:
+def dedup(docs: DataFrame, row_id: Column, text: str = "text", min_documents: int = MIN_DOCUMENTS, min_length: int = MIN_LENGTH, copies_once: bool = False) -> DataFrame:
     """The whole table in BATCHES batches, each anti-joined with the runs before it; then every document without its frequent lines."""
     runs = LevelledRuns(docs.sparkSession, min_documents)
-    for counts in batches(docs, row_id, BATCHES, text, min_length):
+    for counts in batches(docs, row_id, BATCHES, text, min_length, copies_once):
         runs.add(counts)
     return drop_lines(docs, storage.materialize(runs.frequent(), "frequent"), row_id, text)
 

@@ -17,8 +17,9 @@ write ids; count ids (one row an id and task, then as many rows as the
 vocabulary has, which is what the driver gets); write shards; read them back.
 
 Defined cases: null or empty text is its end id alone; null doc_ids come first;
-repeated doc_ids stand side by side, ordered by their bytes; a long text is one
-document of one shard; extra columns are not read; an empty table gives an
+repeated doc_ids stand side by side in an order of their ids' checksums, and
+those of one id that fill several ranges are dealt over them by it; a long text
+is one document of one shard; extra columns are not read; an empty table gives an
 empty result.
 """
 
@@ -39,8 +40,10 @@ from textloom.sources.tables import table
 
 MAGIC = b"TLVB1\0\0\0"
 END_ID = 2
-#: Documents for which one range is made, most ranges, and tokens after which a shard is closed.
+#: Documents for which one range is made; most ranges (the driver holds a bound each, a range is a task whose sort may
+#: spill: 2 GB of ids each at 100 TB of text); tokens after which a shard is closed.
 RANGE_DOCS, MAX_RANGES, SHARD_TOKENS = 4096, 20_000, 4_000_000
+NULL_ID = -(1 << 63)
 
 #: Lengths of the four values of each control byte, first value in the low bits.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -102,34 +105,43 @@ def read_shard(body: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         c, d = c + m, d + int(size[i])
 
 
-def _bounds(docs: DataFrame) -> list[int]:
-    """Upper ends of the doc_id ranges, from the doc_id column alone."""
+def _bounds(docs: DataFrame) -> list[float]:
+    """Upper ends of ranges of about equally many rows, from the doc_id column alone; an id that fills several repeats."""
     n = docs.count()
     k = min(MAX_RANGES, -(-n // RANGE_DOCS))
     if k < 2:
         return []
-    return sorted(set(docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / k for i in range(1, k)], 0.2 / k)))
+    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("double").alias("doc_id"))
+    return sorted(ids.approxQuantile("doc_id", [i / k for i in range(1, k)], 0.2 / k))
+
+
+def _places(bounds: np.ndarray, ids: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Range of each id; one that is the bound of several is dealt over them by share, a number in [0, 1) from its row."""
+    lo, hi = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    exact = (np.abs(ids) < 1 << 53) | (ids == NULL_ID)  # no other id is the same as a double
+    return lo + np.where(exact & (hi > lo), (share * (hi - lo)).astype(np.int64), 0)
 
 
 def token_table(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, str]:
-    """(range, doc_id, ids) written in ascending order: each file's rows are sorted, each range is in one task."""
+    """(range, doc_id, ids) written in ascending order: each file's rows are sorted, each range is one task's."""
     storage.bounded_arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bounds = np.array(_bounds(docs))
+    bounds = np.array(_bounds(docs), float)
 
     def run(batches):
         code = token_codes.encoder(path)
         end = np.array([end_id], code.dtype)
         for b in batches:
-            ids = pa.array([np.concatenate([x, end]).tobytes() for x in code.encode_many(b.column(1))], pa.binary())
+            ids = [np.concatenate([x, end]).tobytes() for x in code.encode_many(b.column(1))]
+            crc = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
             docs_of = b.column(0)
-            place = np.searchsorted(bounds, docs_of.fill_null(-(1 << 63)).to_numpy(), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), docs_of, ids], ["range", "doc_id", "ids"])
+            place = _places(bounds, docs_of.fill_null(NULL_ID).to_numpy(), crc / float(1 << 32))
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), docs_of, pa.array(crc), pa.array(ids, pa.binary())], ["range", "doc_id", "crc", "ids"])
 
-    made = docs.mapInArrow(run, "range int, doc_id long, ids binary")
-    dealt = made.repartition(max(1, min(len(bounds) + 1, 2000)), "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
+    made = docs.mapInArrow(run, "range int, doc_id long, crc long, ids binary")
+    dealt = made.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "crc", "ids")
     out = storage.new_path(docs.sparkSession, "ids")
-    dealt.write.option("compression", "zstd").parquet(out)
+    dealt.select("range", "doc_id", "ids").write.option("compression", "zstd").parquet(out)
     return docs.sparkSession.read.schema("range int, doc_id long, ids binary").parquet(out), out
 
 
@@ -209,8 +221,13 @@ def read_files(files: DataFrame, rank: np.ndarray) -> DataFrame:
                 kinds = [pa.int32(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["range", "part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("range", "part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    # starts of ranges, of which there are a bounded number, then of the parts inside
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = files.groupBy("range").agg(F.sum("n_tokens").alias("n"))
+    bases = sums.select("range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inner = files.select("range", "part", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("_in"))
+    starts = inner.join(bases, "range").select("range", "part", (F.col("_first") + F.col("_in")).alias("base"))
     rows = files.select("range", "part", "body").mapInArrow(run, "range int, part long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["range", "part"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
