@@ -11,34 +11,44 @@ from pyspark.sql import functions as F
 
 from textloom import storage
 from textloom.llm import dart_minhash, line_dedup, mixing, packing, quality_rules, token_codes
+from textloom.llm.text_columns import BLANKS
 from textloom.sources.tables import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null and empty texts are among them, repeated rows are judged each."""
     return quality_rules.keep(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in ten documents or more go; a document left without text goes too."""
-    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    row = F.struct(*[(new[c] if c in new else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
-    some = (F.col("_n_dropped") == 0) | (F.trim("_kept") != "")
-    return quality_rules.keep_where(line_dedup.dedup_table(docs), some, row)
+    """Lines that ten different texts or more hold go, and so does a document that this leaves without a word.
+
+    Copies of a whole text count once here: they are the next stage's, which keeps one of them. A document that loses
+    no line stays as it is, blank ones and null texts too; repeated rows are documents of their own.
+    """
+    new = {"text": F.when(F.col("_n_dropped") == 0, F.col("_doc.text")).otherwise(F.col("_kept"))}
+    new["n_chars"] = F.when(F.col("_n_dropped") == 0, F.col("_doc.n_chars")).otherwise(F.length("_kept"))
+    kinds = dict(docs.dtypes)
+    row = F.struct(*[(new[c].cast(kinds[c]) if c in new else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
+    some = (F.col("_n_dropped") == 0) | (F.btrim("_kept", F.lit(BLANKS)) != "")
+    return quality_rules.keep_where(line_dedup.dedup_table(docs, copies_once=True), some, row)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays, the one of least doc_id."""
+    """One document of each class of near-duplicates stays, the one of least doc_id (a null one last); texts without a word stay each."""
     return dart_minhash.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document read twice is two rows."""
+    """Sources at their target weights, rows in the order of their slots; a document read twice is two rows, texts without a word go.
+
+    A null source is a source of its own.
+    """
     return mixing.apply(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens: a row a piece of a document, in the columns of packing.SCHEMA."""
     return packing.pack_documents(docs, token_codes.default_path())
 
 

@@ -2,7 +2,7 @@
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir``; the task
 commit protocol makes such a table survive lost executors. A folder of our own
-is made only where the setting is absent (tests, laptops).
+is made only in local mode (tests, laptops); a cluster must name one.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         _own[app] = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
