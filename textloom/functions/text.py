@@ -83,6 +83,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 #: Abbreviations after which a sentence goes on, besides single letters.
 ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "e.g", "i.e", "fig", "vol", "no", "approx", "cf", "al")
+#: Not a character, so in no text.
+_CUT = "\ufdd0"
 _STOP = r"""(?<=[.!?]["'’”)\]]{0,3})\s+"""
 
 
@@ -92,13 +94,8 @@ def sentences(c: Column) -> Column:
     last = lambda s: F.lower(F.regexp_replace(F.regexp_extract(s, r"\S+\z", 0), r"""[.!?"'’”)\]]+\z|\A["'“‘(\[]+""", ""))
     goes_on = lambda s: s.endswith(".") & bind(last(s), lambda x: x.isin(*ABBREVIATIONS) | x.rlike(r"\A[a-z]\z"))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(before, F.lit(" "), s)))
-        return F.when(F.size(acc) == 0, F.array(s)).when(goes_on(before), joined).otherwise(F.concat(acc, F.array(s)))
-
-    full = lambda p: F.aggregate(p, F.array().cast("array<string>"), step)
-    return F.filter(bind(pieces, lambda p: F.when(F.exists(p, goes_on), full(p)).otherwise(p)), lambda s: s != "")
+    full = lambda p: F.split(F.array_join(F.transform(p, lambda s: F.concat(s, F.when(goes_on(s), " ").otherwise(_CUT))), ""), _CUT)
+    return F.filter(F.transform(bind(pieces, lambda p: F.when(F.exists(p, goes_on), full(p)).otherwise(p)), lambda s: F.rtrim(s)), lambda s: s != "")
 
 
 def paragraphs(c: Column) -> Column:

@@ -112,11 +112,30 @@ def near_dedup(rows: DataFrame, threshold: float = 0.9, method: str = "prefix")
     return rows.join(first, "row_id", "left_semi")
 
 
+#: Words by which an item is looked up: as many as it has, at most this.
+LOOKUP_WORDS = 8
+
+
 def contamination(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """(row_id, item_id): rows whose text holds the whole key of an item, found by the item's first eight words. items: (item_id, text)."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 8, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(c, i + 1, 8), " "))))
-    k = rows.select("row_id", T.dedup_key(F.coalesce("text", F.lit(""))).alias("key"))
-    k = k.select("row_id", "key", F.explode(T.bind(F.split("key", " "), grams)).alias("h"))
-    i = items.select("item_id", T.dedup_key(F.col("text")).alias("item")).filter("item <> ''")
-    i = i.select("item_id", "item", F.xxhash64(F.array_join(F.slice(F.split("item", " "), 1, 8), " ")).alias("h"))
-    return k.join(i, "h").filter(F.concat(F.lit(" "), "key", F.lit(" ")).contains(F.concat(F.lit(" "), "item", F.lit(" ")))).select("row_id", "item_id").distinct()
+    """(row_id, item_id): rows whose text holds the whole key of an item. items: (item_id, text).
+
+    An item is looked up by the hash of its first words, eight or all it has, among the windows of as many words of
+    the texts; only lengths that items have are made. Windows carry a hash, and a text is fetched for its candidates.
+    """
+    item = items.select("item_id", T.dedup_key(F.col("text")).alias("item")).filter("item <> ''").withColumn("w", F.split("item", " "))
+    item = item.withColumn("n", F.least(F.size("w"), F.lit(LOOKUP_WORDS)))
+    first = storage.materialize(item.select("item_id", "item", "n", F.xxhash64("n", F.array_join(F.slice("w", 1, F.col("n")), " ")).alias("h")), "items")
+    lengths = sorted(r["n"] for r in first.select("n").distinct().collect())  # at most LOOKUP_WORDS numbers
+    if not lengths:
+        return rows.select("row_id").crossJoin(items.select("item_id")).limit(0)
+    key = T.dedup_key(F.coalesce("text", F.lit("")))
+
+    def windows(w):
+        of = lambda n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(w, i, n), " ")))
+        return F.array_distinct(F.flatten(F.array(*[of(n) for n in lengths])))
+
+    hashes = rows.select("row_id", F.explode(T.bind(F.split(key, " "), windows)).alias("h"))
+    pairs = storage.materialize(hashes.join(first.select("item_id", "h"), "h").select("row_id", "item_id"), "lookups")
+    held = pairs.join(rows.select("row_id", key.alias("key")), "row_id").join(first.select("item_id", "item"), "item_id")
+    space = F.lit(" ")
+    return held.filter(F.concat(space, "key", space).contains(F.concat(space, "item", space))).select("row_id", "item_id").distinct()

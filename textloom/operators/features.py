@@ -29,8 +29,7 @@ def _mean(a: Column) -> Column:
 
 
 def _std(a: Column) -> Column:
-    m = _mean(a)
-    return F.sqrt(_mean(F.transform(a, lambda x: (x - m) * (x - m))))
+    return T.bind(_mean(a), lambda m: F.sqrt(_mean(F.transform(a, lambda x: (x - m) * (x - m)))))
 
 
 def type_token_ratio(w: Column) -> Column:
@@ -45,13 +44,13 @@ def mattr(w: Column, window: int = WINDOW) -> Column:
 
 
 def ngrams(w: Column, n: int) -> Column:
-    at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
+    """Hashes of the runs of n words."""
+    at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
 
 
 def ngram_repetition(w: Column, n: int = 4) -> Column:
-    g = ngrams(w, n)
-    return _ratio(F.size(g) - F.size(F.array_distinct(g)), F.size(g))
+    return T.bind(ngrams(w, n), lambda g: _ratio(F.size(g) - F.size(F.array_distinct(g)), F.size(g)))
 
 
 def lexical(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.operators.records import CLASSES
 
 
@@ -21,24 +22,27 @@ def argmax_class(p: Column, classes: Sequence[str] = CLASSES) -> Column:
     return F.element_at(names, F.array_position(p, F.array_max(p)).cast("int"))
 
 
+def _over_sum(q: Column, none) -> Column:
+    """Elements over their sum, each made once; none(element) where the sum is not positive."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return T.bind(q, lambda v: T.bind(total(v), lambda s: F.transform(v, lambda x: F.when(s > 0, x / s).otherwise(none(x)))))
+
+
 def normalise(p: Column) -> Column:
     """Negatives and NaN to 0, then to sum 1; uniform if nothing is left."""
     q = F.transform(p, lambda x: F.when(x.isNull() | F.isnan(x) | (x < 0), F.lit(0.0)).otherwise(x))
-    s = F.aggregate(q, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(q, lambda x: F.when(s > 0, x / s).otherwise(F.lit(1.0) / F.size(p)))
+    return _over_sum(q, lambda x: F.lit(1.0) / F.size(p))
 
 
 def project(p: Column, have: Sequence[str], want: Sequence[str] = CLASSES) -> Column:
     """Probabilities in the wanted order; an absent class is 0; sums to 1 unless all are 0."""
     q = F.array(*[F.get(p, F.lit(list(have).index(c))) if c in have else F.lit(0.0) for c in want])
-    s = F.aggregate(q, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(q, lambda x: F.when(s > 0, x / s).otherwise(x))
+    return _over_sum(q, lambda x: x)
 
 
 def softmax(z: Column) -> Column:
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    s = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / s)
+    e = T.bind(z, lambda v: T.bind(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m))))
+    return _over_sum(e, lambda x: x)
 
 
 def confusion(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -67,12 +71,36 @@ def macro(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return acc.join(f1, list(by)) if by else acc.crossJoin(F.broadcast(f1))  # a row each
 
 
+def _bin(score: Column) -> Column:
+    """A number that does not fall as the score rises, of some thousand values: by sign and logarithm."""
+    place = F.floor(F.signum(score) * F.log1p(F.abs(score) * 1000) * 256)
+    return F.when(F.isnan(score), F.lit(1 << 40)).otherwise(F.least(F.greatest(place, F.lit(-(1 << 40))), F.lit(1 << 40)))
+
+
+def _cumulated(at: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(*by, score, p, n) with tp, fp, pos, neg: sums of p and n from each score up, and of all.
+
+    In two levels, so that no task holds all scores of a slice: bins of scores, then the scores inside of a bin.
+    """
+    at = at.withColumn("_b", _bin(F.col("score").cast("double")))
+    bins = at.groupBy(*by, "_b").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    part = Window.partitionBy(*by)
+    ahead = part.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"_tp": F.coalesce(F.sum("_p").over(ahead), F.lit(0)), "_fp": F.coalesce(F.sum("_n").over(ahead), F.lit(0)), "pos": F.sum("_p").over(part), "neg": F.sum("_n").over(part)}
+    bins = bins.withColumns(sums).drop("_p", "_n").alias("b")
+    a = at.alias("a")
+    on = F.col("a._b") == F.col("b._b")
+    for c in by:
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    both = a.join(bins, on).select("a.*", "b._tp", "b._fp", "b.pos", "b.neg")
+    above = Window.partitionBy(*by, "_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumns({"tp": F.col("_tp") + F.sum("p").over(above), "fp": F.col("_fp") + F.sum("n").over(above)}).drop("_b", "_tp", "_fp")
+
+
 def curve(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(*by, score, p, n, tp, fp, pos, neg): counts at each score, and at or above it. rows: score, positive."""
     at = rows.filter("score is not null").groupBy(*by, "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy()
-    above = part.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return at.withColumns({"tp": F.sum("p").over(above), "fp": F.sum("n").over(above), "pos": F.sum("p").over(part), "neg": F.sum("n").over(part)})
+    return _cumulated(at, by)
 
 
 def ranking(rows: DataFrame, by: Sequence[str] = (), targets: Sequence[float] = (0.01, 0.05)) -> DataFrame:
@@ -155,22 +183,25 @@ def operating_points(rows: DataFrame, slice_: Column) -> DataFrame:
     """(value, pos, neg, auroc, tpr_at_1, tpr_at_5, mean_pos, mean_neg): a slice without humans borrows all humans outside of it.
 
     The humans of all slices are counted by score once; a slice that borrows
-    joins that table, not the rows.
+    looks its own scores up in that table.
     """
     one = rows.select(slice_.cast("string").alias("value"), "score", "positive").filter("value is not null")
     at = one.groupBy("value", "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    own = at.groupBy("value").agg(F.sum("n").alias("own"), F.sum("p").alias("any")).filter("any > 0")
-    human = at.groupBy("score").agg(F.sum("n").alias("n")).filter("n > 0")
-    # borrowers are slices, the other side distinct scores of humans: both are aggregates
-    lent = own.filter("own = 0").select("value").join(human, F.lit(True)).select("value", "score", F.lit(0).cast("long").alias("p"), "n")
-    both = at.join(own.select("value"), "value", "left_semi").unionByName(lent).groupBy("value", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    part = Window.partitionBy("value")
-    above = part.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    c = both.withColumns({"tp": F.sum("p").over(above), "fp": F.sum("n").over(above), "pos": F.sum("p").over(part), "neg": F.sum("n").over(part)}).filter("neg > 0")
+    sides = at.groupBy("value").agg(F.sum("n").alias("own"), F.sum("p").alias("any")).filter("any > 0")
+    rich = at.join(sides.filter("own > 0").select("value"), "value", "left_semi")
+    c = _cumulated(rich, ["value"])
+    # all scores with the humans at and above them; a slice of its own rows only looks up its scores there
+    every = _cumulated(at.groupBy("score").agg(F.lit(0).cast("long").alias("p"), F.sum("n").alias("n")), []).select("score", "n", "fp", "neg")
+    poor = at.join(sides.filter("own = 0").select("value"), "value", "left_semi").filter("p > 0").select("value", "score", "p", F.lit(0).cast("long").alias("n"))
+    tp = _cumulated(poor, ["value"]).select("value", "score", "p", "tp", "pos")
+    c = c.unionByName(tp.join(every, "score").select(*c.columns)).filter("neg > 0")
+    humans = at.agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("all_humans"))
     half = (F.col("p") * (F.col("neg") - F.col("fp")) + F.col("p") * F.col("n") / 2.0) / (F.col("pos") * F.col("neg"))
     tpr = lambda t: F.max(F.when(F.col("fp") / F.col("neg") <= t, F.col("tp") / F.col("pos")).otherwise(0.0))
     mean = lambda k: F.sum(F.col("score") * F.col(k)) / F.sum(k)
-    return c.groupBy("value").agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"), F.sum(half).alias("auroc"), tpr(0.01).alias("tpr_at_1"), tpr(0.05).alias("tpr_at_5"), mean("p").alias("mean_pos"), mean("n").alias("mean_neg"))
+    out = c.groupBy("value").agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"), F.sum(half).alias("auroc"), tpr(0.01).alias("tpr_at_1"), tpr(0.05).alias("tpr_at_5"), mean("p").alias("mean_pos"), mean("n").alias("own_humans"))
+    out = out.join(sides.select("value", "own"), "value").crossJoin(F.broadcast(humans))  # a row
+    return out.select("value", "pos", "neg", "auroc", "tpr_at_1", "tpr_at_5", "mean_pos", F.when(F.col("own") > 0, F.col("own_humans")).otherwise(F.col("all_humans")).alias("mean_neg"))
 
 
 def class_weights(rows: DataFrame) -> DataFrame:

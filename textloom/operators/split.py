@@ -1,8 +1,8 @@
 """Leakage-safe splits: topics and near-duplicate clusters stay on one side.
 
 Rows are joined into groups (components of equal topics and duplicate links).
-Only the table of group sizes is dealt out sequentially, largest first, each
-group to the split with the largest deficit; rows follow by a join. Randomness
+Only the table of distinct group sizes is dealt out sequentially, largest first,
+each group to the split with the largest deficit; rows follow by a join. Randomness
 is a hash of seed and group, so a split does not depend on partitions.
 """
 
@@ -46,12 +46,30 @@ def grouping(rows: DataFrame, by_duplicates: bool = True, threshold: float = 0.8
     return out.select("row_id", F.coalesce("component", "row_id").alias("component"))
 
 
+def _deal(short: list[float], size: int, n: int) -> list[int]:
+    """How many of n groups of one size each split gets if every group goes to the split that lacks most, ties to the first.
+
+    That takes the n largest of the values short[k] - j * size, so all but a few follow from the level they reach down to.
+    """
+    got, level = [0] * len(short), max(short)
+    for k in range(1, len(short) + 1):  # the level if the k neediest share
+        top = sorted(short, reverse=True)[:k]
+        level = (sum(top) - n * size) / k
+        if k == len(short) or level >= sorted(short, reverse=True)[k]:
+            break
+    got = [max(0, int((s - level) // size)) for s in short]
+    while sum(got) > n:  # rounding of large numbers
+        got[min(range(len(short)), key=lambda i: (short[i] - (got[i] - 1) * size if got[i] else float("inf"), -i))] -= 1
+    while sum(got) < n:
+        got[max(range(len(short)), key=lambda i: (short[i] - got[i] * size, -i))] += 1
+    return got
+
+
 def assign_groups(groups: DataFrame, ratios: Sequence[float], seed: int) -> DataFrame:
-    """(component, split) from (row_id, component): greedy by size, in Python over one row a size and hash bucket.
+    """(component, split) from (row_id, component): largest groups first, each to the split that lacks most.
 
-    Groups of one size are interchangeable, so runs of equal sizes are dealt out
-    by their ranks: the driver's sequence is over distinct sizes and splits, not
-    over groups.
+    Groups of one size are interchangeable, so each split gets a run of their ranks in order of hash. The driver's
+    sequence is over distinct sizes, of which N rows have at most sqrt(2 N): a table of that size is broadcast.
     """
     spark, ratios = groups.sparkSession, parse_ratios(ratios)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -60,29 +78,13 @@ def assign_groups(groups: DataFrame, ratios: Sequence[float], seed: int) -> Data
     total, filled, plan = sum(s * n for s, n in runs), [0, 0, 0], []
     for size, n in runs:
         at = 0
-        while at < n:
-            short = [r * total - f for r, f in zip(ratios, filled)]
-            k = max(range(3), key=lambda i: (short[i], -i))
-            # as many as stay the neediest after each step
-            rest = max((short[i] for i in range(3) if i != k), default=0.0)
-            many = 1 if n - at < 64 else max(1, min(n - at, int((short[k] - rest) // size) + 1))
-            plan.append((size, at, at + many, SPLITS[k]))
-            filled[k] += size * many
-            at += many
-    steps = spark.createDataFrame(_merged(plan) or [(0, 0, 0, "train")], "size long, lo long, hi long, split string")
-    # place of a group among those of its size, by hash buckets of bounded size
-    ranked = _ranks(sizes)
-    return ranked.join(F.broadcast(steps) if len(plan) < 100_000 else steps, "size").filter("rank >= lo and rank < hi").select("component", "split")
-
-
-def _merged(plan: list[tuple]) -> list[tuple]:
-    out: list[tuple] = []
-    for size, lo, hi, split in plan:
-        if out and out[-1][0] == size and out[-1][2] == lo and out[-1][3] == split:
-            out[-1] = (size, out[-1][1], hi, split)
-        else:
-            out.append((size, lo, hi, split))
-    return out
+        for k, many in enumerate(_deal([r * total - f for r, f in zip(ratios, filled)], size, n)):
+            if many:
+                plan.append((size, at, at + many, SPLITS[k]))
+                filled[k] += size * many
+                at += many
+    steps = spark.createDataFrame(plan or [(0, 0, 0, "train")], "size long, lo long, hi long, split string")
+    return _ranks(sizes).join(F.broadcast(steps), "size").filter("rank >= lo and rank < hi").select("component", "split")
 
 
 def _ranks(sizes: DataFrame) -> DataFrame:
@@ -116,6 +118,14 @@ def stratified_split(rows: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15
     return keyed.drop("component").join(ranks.select(F.col("component").alias("row_id"), split.alias("split")), "row_id")
 
 
+def length_stratified(rows: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 0) -> DataFrame:
+    """rows with ``length_bucket`` as it is or from the text, and ``split``: each pair of label and bucket cut in the ratios."""
+    bucket = T.length_bucket(T.word_count(F.col("text")), F.col("length_bucket") if "length_bucket" in rows.columns else None)
+    cells = rows.withColumns({"length_bucket": bucket, "_label": F.col("label")})
+    out = stratified_split(cells.withColumn("label", F.concat_ws("|", "label", "length_bucket")), ratios, seed)
+    return out.withColumn("label", F.col("_label")).drop("_label")
+
+
 def held_out(rows: DataFrame, column: str, values: Sequence[str], seed: int = 0, negative_share: float | None = 0.3, validation: float = 0.15, by_duplicates: bool = True) -> DataFrame:
     """Rows of the listed values are test; rows without one give a share of their groups to it (null share: none do); the rest trains."""
     wanted = [v.strip().lower() for v in values if v.strip()]
@@ -167,3 +177,14 @@ def straddles(rows: DataFrame) -> DataFrame:
     pairs = [("train", "validation"), ("train", "test"), ("validation", "test")]
     each = F.explode(F.array(*[F.struct(F.lit(f"{a}/{b}").alias("pair"), (F.col(a) & F.col(b)).alias("hit")) for a, b in pairs]))
     return flags.select("kind", each.alias("p")).groupBy("kind", "p.pair").agg(F.count_if(F.col("p.hit")).alias("n"))
+
+
+def split_warnings(rows: DataFrame, least: int = 30) -> DataFrame:
+    """(split, warning): splits that are empty, small or lack a class, and what stands in two splits."""
+    sizes = split_sizes(rows.filter("split is not null"))
+    every = rows.sparkSession.createDataFrame([(s,) for s in SPLITS], "split string").join(F.broadcast(sizes), "split", "left").na.fill(0)  # three rows
+    says = [F.when(F.col("n") == 0, F.lit("no rows")), F.when((F.col("n") > 0) & (F.col("n") < least), F.lit("few rows"))]
+    says += [F.when((F.col("n") > 0) & (F.col(c) == 0), F.lit(f"no {c} rows")) for c in ("human", "pure_ai", "humanized_ai")]
+    one = every.select("split", F.explode(F.array_compact(F.array(*says))).alias("warning"))
+    two = straddles(rows).filter("n > 0").select(F.col("pair").alias("split"), F.concat(F.lit("shared: "), "kind").alias("warning"))
+    return one.unionByName(two)

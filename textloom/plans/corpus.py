@@ -231,8 +231,13 @@ def _attack(name):
     return run
 
 
+#: A place's doubles in turn, singles by the letter before them.
+_QUOTES = r"""case when regexp_matches(text, '^\s*$') then text when length(text) - length(translate(text, '‘’“”', '')) >= length(text) - length(translate(text, '"''', '')) then translate(text, '‘’“”', '''''""')
+ else replace(regexp_replace(array_to_string(list_transform(string_split(text, '"'), lambda p, i: case when i = 1 then p when i % 2 = 0 then '“' || p else '”' || p end), ''), '([\pL\pN])''', '\1’', 'g'), '''', '‘') end"""
+_QUOTES_SQL = f"select doc_id as row_id, md5({_QUOTES}) as text_md5, {_QUOTES} is not distinct from text as same from documents"
+
 for _name in attacks.ATTACKS:
-    R.add(f"attack_{_name}")(_attack(_name))
+    R.add(f"attack_{_name}", _QUOTES_SQL if _name == "quote_style_swap" else None)(_attack(_name))
 
 
 @R.add("transformation_family", f"""with {REC}, t as (select row_id, label, lower(coalesce(attack_type, '') || ' ' || coalesce(humanizer, '')) as m from rec)
