@@ -84,12 +84,12 @@ def isotonic(p: Column, fits: dict[str, tuple[list[float], list[float]]]) -> Col
     return metrics.normalise(F.array(*[_interpolate(F.get(p, F.lit(i)), *fits[c]) if c in fits else F.get(p, F.lit(i)) for i, c in enumerate(CLASSES)]))
 
 
-def choose(fit_rows: DataFrame, held: DataFrame | None) -> tuple[str, object]:
+def choose(fit_rows: DataFrame, held: DataFrame | None, rounds: int = 60) -> tuple[str, object]:
     """The method of least held-out calibration error; temperature if nothing is held out."""
     t = fit_temperature(fit_rows)
     if held is None or held.isEmpty():
         return "temperature", t
-    v, i = fit_vector_scaling(fit_rows), fit_isotonic(fit_rows)
+    v, i = fit_vector_scaling(fit_rows, rounds), fit_isotonic(fit_rows)
     options = {"identity": (None, F.col("p")), "temperature": (t, temperature(F.col("p"), t)), "vector": (v, vector_scale(F.col("p"), *v)), "isotonic": (i, isotonic(F.col("p"), i))}
     ece = {k: metrics.quality(held.select("label", q.alias("p"))).first()["ece"] for k, (_, q) in options.items()}
     best = min(ece, key=lambda k: (ece[k], k))

@@ -65,22 +65,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.filter(F.col("jaccard") >= threshold)
 
 
-def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs a < b that share one of their rarest n - ceil(t n) + 1 shingles and fit in size and place: loses no similar pair."""
+def _postings(sets: DataFrame, threshold: float) -> DataFrame:
+    """(row_id, n, rest, g): the n - ceil(t n) + 1 rarest shingles of each set that another set has too, and how many such are left from each on."""
     grams = sets.select("row_id", "n", F.explode("s").alias("g"))
     df = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranked = grams.join(df, "g").groupBy("row_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
     k = F.size("o")
     left = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1 - (F.col("n") - k)).cast("int")
     posts = ranked.select("row_id", "n", k.alias("k"), F.posexplode(F.slice("o", 1, left)).alias("at", "x"))
-    posts = storage.materialize(posts.select("row_id", "n", (F.col("k") - F.col("at")).alias("rest"), "x.g"), "posts")
-    x, y = posts.alias("x"), posts.alias("y")
+    return storage.materialize(posts.select("row_id", "n", (F.col("k") - F.col("at")).alias("rest"), "x.g"), "posts")
+
+
+def _fit(threshold: float):
+    """Whether postings x and y of one shingle may be of similar sets, by their sizes and what is left from it on."""
     need = (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9
-    fits = (F.col("x.n") >= F.col("y.n") * threshold - 1e-9) & (F.col("y.n") >= F.col("x.n") * threshold - 1e-9) & (F.least("x.rest", "y.rest") >= need)
-    both = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.row_id") < F.col("y.row_id")) & fits)
+    return (F.col("x.n") >= F.col("y.n") * threshold - 1e-9) & (F.col("y.n") >= F.col("x.n") * threshold - 1e-9) & (F.least("x.rest", "y.rest") >= need)
+
+
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs a < b that share one of their rarest shingles and fit in size and place: loses no similar pair, and is as large as their number."""
+    posts = _postings(sets, threshold)
+    x, y = posts.alias("x"), posts.alias("y")
+    both = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.row_id") < F.col("y.row_id")) & _fit(threshold))
     return both.select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct()
 
 
+def cluster_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): similar pairs with the same components as all of them, without making all pairs of a group of copies.
+
+    Rows of a shingle are first compared with its least row; then only pairs of different components are made, each
+    with a side outside of the shingle's most frequent component.
+    """
+    posts = _postings(sets, threshold)
+    heads = posts.groupBy("g").agg(F.min("row_id").alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("g", "head")
+    star = posts.join(heads, "g").filter("row_id <> head").select(F.col("head").alias("a"), F.col("row_id").alias("b")).distinct()
+    first = storage.materialize(_verified(storage.materialize(star, "stars"), sets, threshold).select("a", "b"), "links")
+    named = posts.join(connected_components(first).toDF("row_id", "c"), "row_id", "left").withColumn("c", F.coalesce("c", "row_id"))
+    named = storage.materialize(named, "named")
+    by = named.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("lead"), F.count(F.lit(1)).alias("of"))
+    mixed = named.join(storage.materialize(by.filter("of > 1").drop("of"), "leads"), "g")
+    x, y = mixed.filter("c <> lead").alias("x"), mixed.alias("y")
+    once = (F.col("y.c") == F.col("y.lead")) | (F.col("x.row_id") < F.col("y.row_id"))
+    both = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.c") != F.col("y.c")) & once & _fit(threshold))
+    rest = both.select(F.least("x.row_id", "y.row_id").alias("a"), F.greatest("x.row_id", "y.row_id").alias("b")).distinct()
+    return first.unionByName(_verified(storage.materialize(rest, "candidates"), sets, threshold).select("a", "b"))
+
+
 def sketch_pairs(sets: DataFrame, postings: tuple[int, int] = POSTINGS, shared: int = SHARED) -> DataFrame:
     """Candidate pairs a < b that share so many of their 128 least hashes; hashes held too often make no pairs, as this index defines it."""
     posts = sets.select("row_id", F.explode(T.sketch(F.col("s"))).alias("h"))
@@ -90,18 +120,22 @@ def sketch_pairs(sets: DataFrame, postings: tuple[int, int] = POSTINGS, shared:
     return both.groupBy(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= shared).select("a", "b")
 
 
-def near_pairs(rows: DataFrame, threshold: float = 0.85, method: str = "prefix") -> DataFrame:
-    """(a, b, jaccard) of nodes, the first rows of their keys, at least so similar."""
-    threshold = min(1.0, max(0.0, threshold))
+def _sets(rows: DataFrame) -> DataFrame:
     firsts = rows.join(nodes(rows).filter("row_id = node").select("row_id"), "row_id", "left_semi")
-    sets = storage.materialize(shingle_table(firsts), "shingles")
+    return storage.materialize(shingle_table(firsts), "shingles")
+
+
+def near_pairs(rows: DataFrame, threshold: float = 0.85, method: str = "prefix") -> DataFrame:
+    """(a, b, jaccard) of nodes, the first rows of their keys, at least so similar: all pairs, as this report is defined."""
+    threshold, sets = min(1.0, max(0.0, threshold)), _sets(rows)
     pairs = prefix_pairs(sets, threshold) if method == "prefix" else sketch_pairs(sets)
     return storage.materialize(_verified(storage.materialize(pairs, "candidates"), sets, threshold), "pairs")
 
 
 def near_clusters(rows: DataFrame, threshold: float = 0.85, method: str = "prefix") -> DataFrame:
     """(row_id, component): least row_id of its cluster, itself if it is alone."""
-    parts = connected_components(near_pairs(rows, threshold, method))
+    links = near_pairs(rows, threshold, method) if method != "prefix" else cluster_links(_sets(rows), min(1.0, max(0.0, threshold)))
+    parts = connected_components(links)
     named = nodes(rows).join(parts.withColumnRenamed("component", "c"), "node", "left")
     return named.select("row_id", F.coalesce("c", "node").alias("component"))
 

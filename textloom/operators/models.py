@@ -12,6 +12,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTok
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom import storage
 from textloom.operators import metrics
 
 
@@ -38,7 +39,7 @@ def estimator(names: Sequence[str], algorithm: str = "logistic", n: int = 1000,
 
 
 def category_pipeline(n: int, ngram_max: int = 2, max_features: int = 50_000, algorithm: str = "logistic") -> Pipeline:
-    """Text to category: word 1..n-grams, sublinear tf, idf, L2; logistic regression or linear SVM."""
+    """Text to category: word 1..n-grams, counts (Spark has no vector function for their logarithm), idf, L2; logistic regression or linear SVM."""
     stages = [RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"\W+")]
     stages += [NGram(n=k, inputCol="w1", outputCol=f"w{k}") for k in range(2, ngram_max + 1)]
     grams = ", ".join(f"w{k}" for k in range(1, ngram_max + 1))
@@ -68,23 +69,65 @@ def importances(model: PipelineModel, names: Sequence[str], top: int = 25) -> li
     return sorted(zip(names, map(float, v)), key=lambda x: (-abs(x[1]), x[0]))[:top]
 
 
-def permutation_importances(model: PipelineModel, rows: DataFrame, names: Sequence[str], seed: int = 0) -> list[tuple[str, float]]:
-    """Loss of accuracy when a feature is dealt out anew among rows, by the order of a hash."""
+def permutation_importances(model: PipelineModel, rows: DataFrame, names: Sequence[str], seed: int = 0, repeats: int = 5) -> list[tuple[str, float]]:
+    """Mean loss of macro-F1 when a feature's values move round the rows, in the order of a hash, by a step that differs each time."""
+    import random
+
     from textloom.operators.order import ordinals
 
-    base = score(model, rows)
-    keyed = ordinals(rows, "row_id", "_i")
-    n = keyed.count()
+    keyed = ordinals(rows.withColumn("_h", F.xxhash64("row_id", F.lit(seed))), "_h", "_i")
+    keyed = storage.materialize(keyed.drop("_h"), "keyed")
+    n, base, rng = keyed.count(), score(model, rows), random.Random(seed)
     out = []
-    for k, f in enumerate(names):
-        other = keyed.select(((F.col("_i") * F.lit(7919) + F.lit(seed + k + 1)) % F.lit(max(1, n))).alias("_i"), F.col(f).alias("_v")).dropDuplicates(["_i"])
-        mixed = keyed.join(other, "_i", "left").withColumn(f, F.coalesce("_v", f)).drop("_v", "_i")
-        out.append((f, base - score(model, mixed)))
+    for f in names:
+        lost = 0.0
+        for _ in range(repeats):
+            step = rng.randrange(1, n) if n > 1 else 0
+            other = keyed.select(F.pmod(F.col("_i") + step, F.lit(max(1, n))).alias("_i"), F.col(f).alias("_v"))
+            lost += base - score(model, keyed.join(other, "_i").withColumn(f, F.col("_v")).drop("_v", "_i"))
+        out.append((f, lost / repeats))
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
-def score(model: PipelineModel, rows: DataFrame) -> float:
-    return model.transform(rows).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
+def predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """rows with ``prediction``, the name of the class, and ``p``, its probabilities in the model's own order of classes, if it has any."""
+    from pyspark.ml.functions import vector_to_array
+
+    labels = next(s.labels for s in model.stages if hasattr(s, "labels"))
+    scored = model.transform(rows)
+    names = F.array(*[F.lit(x) for x in labels])
+    out = {"prediction": F.get(names, F.col("prediction").cast("int"))}
+    if "probability" in scored.columns:
+        out["p"] = vector_to_array("probability")
+    return scored.withColumns(out).select(*rows.columns, *out)
+
+
+def score(model: PipelineModel, rows: DataFrame, label: str = "label") -> float:
+    """Macro-F1 over the labels seen."""
+    one = predictions(model, rows).select(F.col(label).alias("label"), "prediction")
+    return evaluate(one)["macro_f1"]
+
+
+def evaluate(rows: DataFrame) -> dict:
+    """n, accuracy and macro-F1 of (label, prediction), whatever the labels are; nulls and an n of 0 for no rows."""
+    side = lambda c: rows.groupBy(F.col(c).alias("c")).agg(F.count(F.lit(1)).alias(f"n_{c}"))
+    hit = rows.filter("label = prediction").groupBy(F.col("label").alias("c")).agg(F.count(F.lit(1)).alias("tp"))
+    per = side("label").join(side("prediction"), "c", "full").join(hit, "c", "left").na.fill(0)
+    f1 = 2 * F.col("tp") / (F.col("n_label") + F.col("n_prediction"))
+    r = per.agg(F.sum("n_label").alias("n"), F.sum("tp").alias("hits"), F.avg(f1).alias("macro_f1")).first()
+    return {"n": r["n"] or 0, "accuracy": r["hits"] / r["n"] if r["n"] else None, "macro_f1": r["macro_f1"]}
+
+
+def evaluate_splits(model: PipelineModel, rows: DataFrame, label: str = "label") -> dict[str, dict]:
+    """evaluate() of each split; a split without rows of known classes says so, and rows of classes the model lacks are counted, not scored."""
+    known = next(s.labels for s in model.stages if hasattr(s, "labels"))
+    out = {}
+    for split in ("train", "validation", "test"):
+        part = rows.filter(F.col("split") == split)
+        ok = part.filter(F.col(label).isin(*known))
+        got = evaluate(predictions(model, ok).select(F.col(label).alias("label"), "prediction"))
+        out[split] = got | {"unknown": part.count() - got["n"]} if got["n"] else {"n": 0, "skipped": "no rows"}
+    return out
 
 
 def save_artefact(model: PipelineModel, path: str, info: dict) -> None:
