@@ -9,14 +9,14 @@ from textloom.operators import calibration, document, metrics, models, reports,
 from textloom.operators.records import CLASSES
 from textloom.plans.base import REC, Registry, r6, sql_bucket, sql_clean, sql_strip, sql_words
 from textloom.plans.base import records as rec
-from textloom.sources.tables import table
+from textloom.sources.tables import spread, table
 
 R = Registry()
 SPACE = T.SPACE
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents")).select("doc_id", "text")
 
 
 @R.add("validate_input", f"select doc_id, case when {sql_strip('text')} = '' then 'empty_input' when len({sql_words('text')}) > 1000 then 'too_long' when len({sql_words('text')}) < 50 then 'too_short' end as error from documents")
@@ -107,7 +107,7 @@ def binary_relabel(spark, sf):
 @R.add("csv_list", "select doc_id, lang || '|' || source as parts from documents")
 def csv_list(spark, sf):
     listed = F.concat(F.lit(" ,"), F.col("lang"), F.lit(" , ,"), F.col("source"), F.lit(",\t"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(document.csv_list(listed), "|").alias("parts"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.array_join(document.csv_list(listed), "|").alias("parts"))
 
 
 _GENRE_HITS = ", ".join("len(list_filter(w, lambda x: x in (" + ", ".join(f"'{x}'" for x in ws) + f"))) + 0.5::double as g{i}" for i, ws in enumerate(document.GENRES.values()))
@@ -171,7 +171,7 @@ def three_scores(spark, sf):
 @R.add("feature_lookup", "select doc_id, n_chars::double as chars, case when lang = 'fr' then 1.0::double end as fr, null::double as absent from documents")
 def feature_lookup(spark, sf):
     """Named features of maps by resolved keys; null where a row has none."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     m = F.map_from_arrays(F.array(F.lit("orig__f_chars"), F.concat(F.lit("tag__"), F.col("lang"))), F.array(F.col("n_chars").cast("double"), F.lit(1.0)))
     known = ["orig__f_chars", "tag__fr", "tag__en"]
     key = lambda n: document.resolve_feature(n, ["stylo", "orig"], known)

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import metrics
 from textloom.operators.records import CLASSES
-from textloom.sources.tables import table
+from textloom.sources.tables import spread, table
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as records with made-up probabilities p, prediction, score and split."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text", F.col("lang").alias("language"), F.col("lang").alias("category"), "source", "n_chars")
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("row_id"), "text", F.col("lang").alias("language"), F.col("lang").alias("category"), "source", "n_chars")
     l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), "quality", "toxic")
     k, n = F.col("row_id"), F.col("n_chars")
     label = F.when(F.col("quality") == 0, "pure_ai").when(F.col("toxic") == 1, "humanized_ai").otherwise("human")

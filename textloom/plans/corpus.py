@@ -8,25 +8,25 @@ from textloom.functions import text as T
 from textloom.operators import attacks, dedup, leakage, metrics, records, split
 from textloom.plans.base import REC, Registry, r6, sql_bucket, sql_clean, sql_key, sql_words
 from textloom.plans.base import records as rec
-from textloom.sources.tables import table
+from textloom.sources.tables import spread, table
 
 R = Registry()
 _DOCS = "docs as (select doc_id as row_id, text, lang as label from documents)"
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text", F.col("lang").alias("label"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("row_id"), "text", F.col("lang").alias("label"))
 
 
 @R.add("clean_text", f"select doc_id, md5({sql_clean('text')}) as cleaned from documents")
 def clean_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean(F.col("text")).cast("binary")).alias("cleaned"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.md5(T.clean(F.col("text")).cast("binary")).alias("cleaned"))
 
 
 @R.add("dedup_key", f"select doc_id, md5({sql_key('text')}) as key, len({sql_words('text')})::bigint as n_words from documents")
 def dedup_key(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.dedup_key(t).cast("binary")).alias("key"), T.word_count(t).alias("n_words"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.md5(T.dedup_key(t).cast("binary")).alias("key"), T.word_count(t).alias("n_words"))
 
 
 _DUP = f"with {_DOCS}, k as (select *, {sql_key('text')} as k from docs), w as (select *, row_number() over (partition by k order by row_id) as rn, first_value(label) over (partition by k order by row_id) as l0 from k)"

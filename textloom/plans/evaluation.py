@@ -10,7 +10,7 @@ from textloom.functions import text as T
 from textloom.operators import calibration, features, metrics, reference
 from textloom.plans.base import CLASS_VALUES, REC, Registry, r6, sql_clean, sql_words
 from textloom.plans.base import records as rec
-from textloom.sources.tables import table
+from textloom.sources.tables import spread, table
 
 R = Registry()
 
@@ -195,14 +195,14 @@ _W = r"regexp_extract_all(lower(text), '[a-z][a-z'']*')"
 @R.add("lexical_diversity", f"""with w as (select doc_id, {_W} as w from documents), m as (select doc_id, avg(len(list_distinct(w[i:i+49])) / 50) as m from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w where len(w) > 50) group by doc_id)
 select doc_id, coalesce(round(len(list_distinct(w)) / nullif(len(w), 0), 6), 0.0) as ttr, round(coalesce(m, len(list_distinct(w)) / nullif(len(w), 0), 0.0), 6) as mattr_50 from w left join m using (doc_id)""")
 def lexical_diversity(spark, sf):
-    out = table(spark, sf, "documents").select("doc_id", T.alpha_words(F.col("text")).alias("w"))
+    out = spread(table(spark, sf, "documents")).select("doc_id", T.alpha_words(F.col("text")).alias("w"))
     return out.select("doc_id", r6(features.type_token_ratio(F.col("w"))).alias("ttr"), r6(features.mattr(F.col("w"))).alias("mattr_50"))
 
 
 @R.add("fourgram_repetition", f"""with w as (select doc_id, {_W} as w from documents), g as (select doc_id, count(*) as n, count(distinct g) as d from (select doc_id, array_to_string(w[i:i+3], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 2)) as i from w)) group by doc_id)
 select doc_id, coalesce(round((n - d) / n, 6), 0.0) as rate from w left join g using (doc_id)""")
 def fourgram_repetition(spark, sf):
-    out = table(spark, sf, "documents").select("doc_id", T.alpha_words(F.col("text")).alias("w"))
+    out = spread(table(spark, sf, "documents")).select("doc_id", T.alpha_words(F.col("text")).alias("w"))
     return out.select("doc_id", r6(features.ngram_repetition(F.col("w"))).alias("rate"))
 
 
@@ -212,19 +212,19 @@ _ALL = "[,;:—–\\-\"“”()!?.]"
 
 @R.add("punctuation_shares", f"with t as (select doc_id, {_N(_ALL)} as n, {_N(',')} as c, {_N('[.]')} as p, {_N('[?]')} as q from documents) select doc_id, case when n > 0 then round(c / n, 6) else 0.0 end as comma_share, case when n > 0 then round(p / n, 6) else 0.0 end as period_share, case when n > 0 then round(q / n, 6) else 0.0 end as question_share from t")
 def punctuation_shares(spark, sf):
-    out = features.lexical(table(spark, sf, "documents"))
+    out = features.lexical(spread(table(spark, sf, "documents")))
     return out.select("doc_id", *[r6(F.col(c)).alias(c) for c in ("comma_share", "period_share", "question_share")])
 
 
 @R.add("url_email_counts", r"select doc_id, len(regexp_extract_all(text, 'https?://\S+'))::double as url_count, len(regexp_extract_all(text, '[\w.+-]+@[\w-]+\.[\w.]+'))::double as email_count from documents")
 def url_email_counts(spark, sf):
-    return features.lexical(table(spark, sf, "documents")).select("doc_id", "url_count", "email_count")
+    return features.lexical(spread(table(spark, sf, "documents"))).select("doc_id", "url_count", "email_count")
 
 
 @R.add("chunk_windows", f"""with n as (select doc_id, len({sql_words('text')}) as n from documents), s as (select *, greatest(160, ceil((n - 40) / 40.0)::int) as step from n where n > 0),
 c as (select *, unnest(range(0, greatest(ceil((n - 40) / step)::int - 1, 0) + 1)) as i from s) select doc_id, i::int as chunk, (i * step)::int as start_word, least(n - i * step, step + 40)::int as n_words from c""")
 def chunk_windows(spark, sf):
-    out = table(spark, sf, "documents").select("doc_id", F.explode(features.chunks(F.col("text"))).alias("c"))
+    out = spread(table(spark, sf, "documents")).select("doc_id", F.explode(features.chunks(F.col("text"))).alias("c"))
     return out.select("doc_id", F.col("c.index").alias("chunk"), "c.start_word", "c.n_words")
 
 
@@ -235,17 +235,17 @@ _HITS = ", ".join(f"len(list_intersect(w, ['{chr(39).join(L.STOP_WORDS[k]).repla
 select doc_id, case when m < 5 then 'unknown' when de = m then 'de' when en = m then 'en' when es = m then 'es' else 'fr' end as language, case when m < 5 then 0.0 else round(m / (de + en + es + fr), 6) end as confidence from m""")
 def language_guess(spark, sf):
     x = features.language(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", x["language"].alias("language"), r6(x["confidence"]).alias("confidence"))
+    return spread(table(spark, sf, "documents")).select("doc_id", x["language"].alias("language"), r6(x["confidence"]).alias("confidence"))
 
 
 @R.add("paragraph_counts", rf"select doc_id, len(list_filter(regexp_split_to_array({sql_clean('text')}, '\n[ \t\f\v\r]*\n\s*'), lambda p: trim(p) <> ''))::bigint as n from documents")
 def paragraph_counts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(T.paragraphs(F.col("text"))).cast("long").alias("n"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.size(T.paragraphs(F.col("text"))).cast("long").alias("n"))
 
 
 def _maps(spark, sf):
     """Feature maps with keys that differ by row."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     some = F.map_from_arrays(F.array(F.lit("orig__chars"), F.lit("a__available"), F.concat(F.lit("k__"), F.col("lang"))), F.array(F.col("n_chars").cast("double"), (F.col("doc_id") % 2).cast("double"), F.lit(1.0)))
     return d.select("doc_id", some.alias("features"))
 
@@ -268,14 +268,14 @@ def engine_availability(spark, sf):
 
 @R.add("compression_ratio")
 def compression_ratio(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", features.compression_ratio(F.col("text")).alias("ratio"))
+    return spread(table(spark, sf, "documents")).select("doc_id", features.compression_ratio(F.col("text")).alias("ratio"))
 
 
 @R.add("analyse")
 def analyse(spark, sf):
-    return features.analyse(table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text"))
+    return features.analyse(spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("row_id"), "text"))
 
 
 @R.add("lexical_features")
 def lexical_features(spark, sf):
-    return features.lexical(table(spark, sf, "documents")).select("doc_id", *features.FEATURES)
+    return features.lexical(spread(table(spark, sf, "documents"))).select("doc_id", *features.FEATURES)

@@ -8,3 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table by name; only Spark opens the path, so any store will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt out over the cores where the table has fewer splits than there are; as it is on a table of many splits."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
