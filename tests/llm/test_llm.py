@@ -585,6 +585,14 @@ def test_mix_is_in_slot_order(spark, tmp_path):
     assert all(len(x) == 1 for x in held.values()) and max(words.values()) == block
 
 
+def test_mix_of_other_files_is_the_same(spark, odd, tmp_path):
+    """The same rows in other files and another order give the same mixed rows in the same order, repeated and null ids too."""
+    docs = table(spark, odd, "documents")
+    docs.orderBy(F.rand(3)).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    one, two = (mixing.apply(d, block_words=64).collect() for d in (docs, table(spark, str(tmp_path), "documents")))
+    assert one and one == two
+
+
 def brute_lines(rows, least=10):
     """Text of each row without the lines that so many different texts hold; None if that leaves no word."""
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\f\r"))

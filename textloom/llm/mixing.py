@@ -116,7 +116,8 @@ def schedule(goal: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def streams(docs: DataFrame, goal: DataFrame) -> DataFrame:
     """docs with their source's figures and ``_start``: the source's words before this document, in order of hash."""
-    d = docs.withColumn("_h", F.md5(F.concat(F.lit("mixing:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    name = "order_key" if "order_key" in docs.columns else "doc_id"
+    d = docs.withColumn("_h", F.md5(F.concat(F.lit("mixing:"), F.coalesce(F.col(name).cast("string"), F.lit("")))))
     d = d.withColumn("_stretch", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
     sums = d.groupBy("source", "_stretch").agg(F.sum("size").alias("_s"))
     ahead = Window.partitionBy("source").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,7 +129,7 @@ def streams(docs: DataFrame, goal: DataFrame) -> DataFrame:
     a = d.withColumn("_inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("a")
     both = a.join(s, F.col("a.source").eqNullSafe(F.col("s.source")) & (F.col("a._stretch") == F.col("s._stretch")))
     both = both.select("a.*", "s.source_size", "s.target", (F.col("a._inner") + F.col("s._before")).alias("_start"))
-    return both.drop("_h", "_stretch", "_inner")
+    return both.drop("_h", "_stretch", "_inner", "order_key")
 
 
 def parts(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS, repeat: int = REPEAT) -> DataFrame:
@@ -147,8 +148,11 @@ def parts(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS, r
 
 
 def mix(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, repeat: int = REPEAT, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, source, size) to a row a document: doc_id, source, size, source_size, target, taken and the parts it is read in."""
-    docs = storage.materialize(sizes.select("doc_id", "source", "size"), "sizes")
+    """(doc_id, source, size) to a row a document: doc_id, source, size, source_size, target, taken and the parts it is read in.
+
+    A source is shuffled by doc_id, or by a column ``order_key`` where sizes has one.
+    """
+    docs = storage.materialize(sizes.select("doc_id", "source", "size", *[c for c in sizes.columns if c == "order_key"]), "sizes")
     sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = storage.materialize(targets(sums, weights, share_percent, repeat), "targets")
     placed = streams(docs, goal)
@@ -176,21 +180,31 @@ def apply(docs: DataFrame, **options) -> DataFrame:
 
     A document read whole keeps its text; one that a stretch's end cuts (a few a
     source) has the words taken, one space between them. docs is a table of
-    Parquet, whose rows are named by file and row index while they are mixed.
+    Parquet, whose rows are named by file and row index while they are mixed;
+    a source is shuffled by what its rows hold, so that other files with the
+    same rows give the same mix (columns of maps and variants don't count).
     """
     names = docs.columns
-    rows = docs.withColumn("_row", F.concat_ws("#", F.xxhash64("_metadata.file_path").cast("string"), F.col("_metadata.row_index").cast("string")))
-    sizes = rows.select(F.col("_row").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
+    held = [c for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant"))]
+    # a null leaves a hash as it was, so whether a column is null is hashed too
+    content = F.xxhash64(*[x for c in held for x in (F.col(c).isNull(), F.col(c))])
+    key = F.concat_ws("#", F.col("doc_id").cast("string") if "doc_id" in names else F.lit(None).cast("string"), content.cast("string"))
+    row = F.concat_ws("#", F.xxhash64("_metadata.file_path").cast("string"), F.col("_metadata.row_index").cast("string"))
+    # the columns of docs in a struct: their names can't clash with those made here
+    rows = docs.select(row.alias("_row"), key.alias("_key"), F.struct(*names).alias("_doc"))
+    text = F.col("_doc.text")
+    sizes = rows.select(F.col("_row").alias("doc_id"), F.col("_doc.source").alias("source"), n_words(text).alias("size"), F.col("_key").alias("order_key"))
     taken = mix(sizes, **options).filter("taken > 0")
     runs = taken.select(F.col("doc_id").alias("_row"), F.col("size").alias("_size"), F.explode("parts").alias("_p"))
     first = F.min(F.struct("_p.slot", "_p.place")).alias("_first")
     runs = runs.groupBy("_row", "_size", "_p.pass").agg(F.min("_p.at").alias("_at"), F.sum("_p.words").alias("_words"), first)
-    both = rows.join(runs, "_row")
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(take_words(F.col("text"), F.col("_at"), F.col("_words")))
-    out = both.withColumn("text", text)
+    both = rows.drop("_key").join(runs, "_row")
+    both = both.withColumn("_text", F.when(F.col("_words") == F.col("_size"), text).otherwise(take_words(text, F.col("_at"), F.col("_words"))))
+    new = {"text": F.col("_text")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.orderBy("_first").select(*names)
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    out = F.struct(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in names]).alias("_out")
+    return both.select("_first", out).orderBy("_first").select("_out.*")
 
 
 #: Without blocks: the words taken of a source are the first of its stream, read twice over; block r of a source is at
