@@ -292,6 +292,17 @@ def test_search_of_few_distinct_vectors(spark):
     assert len(_nearest(spark, [(k % 2, turn(0.4 * k)) for k in range(100)], sample=2)) == 5
 
 
+def test_search_broadcasts_nothing(spark):
+    """A query's vector goes to most of the cells, which sizes that Spark guesses do not count: joins must not pass the driver."""
+    rng = np.random.default_rng(7)
+    rows = [(k, x) for k, x in enumerate(rng.normal(size=(400, 8)).tolist())]
+    vectors = multi_index.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = multi_index.search(vectors, F.col("vec_id") % 50 == 0)
+    assert len(found.collect()) == 8 * 5
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_walk_is_in_order():
     rng = np.random.default_rng(0)
     a, b = rng.random(9), rng.random(7)

@@ -159,7 +159,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = VISI
                 ok = np.isfinite(score)
                 yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in cols], ["query_id", "vec_id", "score"])
 
-    met = asked.join(held, "cell").select("q", "e").mapInArrow(rerank, "query_id long, vec_id long, score double")
+    # Spark takes the probed queries for as small as they were before each went to its cells, and would broadcast them
+    met = asked.hint("merge").join(held.hint("merge"), "cell").select("q", "e").mapInArrow(rerank, "query_id long, vec_id long, score double")
     best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))
     first = met.groupBy("query_id").agg(F.slice(best, 1, nearest).alias("b")).select("query_id", F.posexplode("b").alias("p", "x"))
     return first.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))
