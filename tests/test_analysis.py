@@ -179,6 +179,38 @@ def test_estimators(spark, tmp_path, algorithm):
             models.save_artefact(model, f"{tmp_path}/m", {})
 
 
+@pytest.mark.parametrize("algorithm", ["logistic", "boosting"])
+def test_estimators_leave_columns_of_rows(spark, algorithm):
+    """Rows that bear the names of a model's own columns are scored as if they didn't."""
+    rows = blobs(spark)
+    made = {"prediction": F.lit("human"), "p": F.array(F.lit(9.0)), "probability": F.lit(0.5), "rawPrediction": F.lit(1), "raw": F.lit(1), "x": F.lit(1), "y": F.lit("no")}
+    model = models.estimator(["a", "b", "noise"], algorithm, 100).fit(rows.withColumns(made))
+    plain, got = models.predictions(model, rows), models.predictions(model, rows.withColumns(made))
+    assert sorted(got.columns) == sorted(set(plain.columns) | set(made) - {"prediction", "p"})
+    assert got.select(plain.columns).exceptAll(plain).isEmpty() and got.count() == rows.count() and got.filter("prediction = label").count() > 0.85 * rows.count()
+
+
+def test_label_model_scores_every_held_row(spark, small):
+    from textloom.plans import analysis, base
+
+    got = analysis.R.queries["label_model"](spark, small)
+    assert got.columns == ["split", "label", "prediction", "n"]
+    want = base.records(spark, small).filter("split <> 'train'").groupBy("split", "label").count()
+    assert {(r["split"], r["label"]): r["n"] for r in got.groupBy("split", "label").agg(F.sum("n").alias("n")).collect()} == {(r["split"], r["label"]): r["count"] for r in want.collect()}
+
+
+def test_label_model_is_fitted_on_the_training_split_alone(spark, small, monkeypatch):
+    from textloom.plans import analysis, base
+
+    rows = base.records(spark, small).cache()
+    more = rows.filter("split = 'test' and label <> 'human'").withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(200)))).drop("_k")
+    got = []
+    for some in (rows, rows.unionByName(more)):
+        monkeypatch.setattr(analysis, "rec", lambda *_, some=some: some)
+        got.append(sorted(map(tuple, analysis.R.queries["label_model"](spark, small).filter("split = 'validation'").collect())))
+    assert more.count() and got[0] == got[1]
+
+
 def test_evaluate_against_counts(spark):
     rows = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b"), ("c", "a")], "label string, prediction string")
     got = models.evaluate(rows)

@@ -16,6 +16,16 @@ from textloom import storage
 from textloom.operators import metrics
 
 
+#: Columns that the models add, by names that rows don't bear.
+_RAW = {"predictionCol": "_prediction", "rawPredictionCol": "_raw_prediction"}
+_OUT = _RAW | {"probabilityCol": "_probability"}
+
+
+def _named(classifier: GBTClassifier) -> GBTClassifier:
+    """Its constructor takes but one of the names."""
+    return classifier.setPredictionCol(_OUT["predictionCol"]).setRawPredictionCol(_OUT["rawPredictionCol"]).setProbabilityCol(_OUT["probabilityCol"])
+
+
 def weighted(rows: DataFrame) -> DataFrame:
     """rows with ``weight``: balanced over labels; the table of labels is a few rows."""
     return rows.join(F.broadcast(metrics.class_weights(rows)), "label")
@@ -23,15 +33,15 @@ def weighted(rows: DataFrame) -> DataFrame:
 
 def estimator(names: Sequence[str], algorithm: str = "logistic", n: int = 1000, classes: int = 3, seed: int = 0, c: float = 1.0) -> Pipeline:
     """Over the columns names, label and weight; C is turned into Spark's penalty by the number of rows."""
-    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc")
-    vector = VectorAssembler(inputCols=list(names), outputCol="raw", handleInvalid="keep")
-    scale = StandardScaler(inputCol="raw", outputCol="x", withMean=True)
-    common = {"featuresCol": "x", "labelCol": "y"}
+    index = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc")
+    vector = VectorAssembler(inputCols=list(names), outputCol="_raw", handleInvalid="keep")
+    scale = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True)
+    common = {"featuresCol": "_x", "labelCol": "_y"}
     made = {
-        "logistic": lambda: LogisticRegression(maxIter=200, regParam=1 / (c * n), family="multinomial", weightCol="weight", **common),
-        "forest": lambda: RandomForestClassifier(numTrees=400, minInstancesPerNode=2, weightCol="weight", seed=seed, **common),
-        "boosting": lambda: OneVsRest(classifier=GBTClassifier(maxIter=50, seed=seed, **common), **common),
-        "mlp": lambda: MultilayerPerceptronClassifier(layers=[len(names), 128, 64, classes], seed=seed, **common),
+        "logistic": lambda: LogisticRegression(maxIter=200, regParam=1 / (c * n), family="multinomial", weightCol="weight", **common, **_OUT),
+        "forest": lambda: RandomForestClassifier(numTrees=400, minInstancesPerNode=2, weightCol="weight", seed=seed, **common, **_OUT),
+        "boosting": lambda: OneVsRest(classifier=_named(GBTClassifier(maxIter=50, seed=seed, **common)), **common, **_RAW),
+        "mlp": lambda: MultilayerPerceptronClassifier(layers=[len(names), 128, 64, classes], seed=seed, **common, **_OUT),
     }
     if algorithm not in made:
         raise ValueError(f"unknown algorithm {algorithm}")
@@ -40,14 +50,14 @@ def estimator(names: Sequence[str], algorithm: str = "logistic", n: int = 1000,
 
 def category_pipeline(n: int, ngram_max: int = 2, max_features: int = 50_000, algorithm: str = "logistic") -> Pipeline:
     """Text to category: word 1..n-grams, counts (Spark has no vector function for their logarithm), idf, L2; logistic regression or linear SVM."""
-    stages = [RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"\W+")]
-    stages += [NGram(n=k, inputCol="w1", outputCol=f"w{k}") for k in range(2, ngram_max + 1)]
-    grams = ", ".join(f"w{k}" for k in range(1, ngram_max + 1))
-    stages.append(SQLTransformer(statement=f"select *, concat({grams}) as grams from __THIS__"))
-    stages += [CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max_features, maxDF=0.95), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="x")]
-    stages.append(StringIndexer(inputCol="category", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="skip"))
-    common = {"featuresCol": "x", "labelCol": "y"}
-    last = LogisticRegression(maxIter=100, regParam=1 / (4.0 * n), **common) if algorithm == "logistic" else OneVsRest(classifier=LinearSVC(**common), **common)
+    stages = [RegexTokenizer(inputCol="text", outputCol="_w1", pattern=r"\W+")]
+    stages += [NGram(n=k, inputCol="_w1", outputCol=f"_w{k}") for k in range(2, ngram_max + 1)]
+    grams = ", ".join(f"_w{k}" for k in range(1, ngram_max + 1))
+    stages.append(SQLTransformer(statement=f"select *, concat({grams}) as _grams from __THIS__"))
+    stages += [CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=max_features, maxDF=0.95), IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="_x")]
+    stages.append(StringIndexer(inputCol="category", outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip"))
+    common = {"featuresCol": "_x", "labelCol": "_y"}
+    last = LogisticRegression(maxIter=100, regParam=1 / (4.0 * n), **common, **_OUT) if algorithm == "logistic" else OneVsRest(classifier=LinearSVC(**common, **_RAW), **common, **_RAW)
     return Pipeline(stages=[*stages, last])
 
 
@@ -90,16 +100,17 @@ def permutation_importances(model: PipelineModel, rows: DataFrame, names: Sequen
 
 
 def predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """rows with ``prediction``, the name of the class, and ``p``, its probabilities in the model's own order of classes, if it has any."""
+    """rows with ``prediction``, the name of the class, and ``p``, its probabilities in the model's own order of classes, if it has any; the rows' own columns of these names give way."""
     from pyspark.ml.functions import vector_to_array
 
     labels = next(s.labels for s in model.stages if hasattr(s, "labels"))
     scored = model.transform(rows)
     names = F.array(*[F.lit(x) for x in labels])
-    out = {"prediction": F.get(names, F.col("prediction").cast("int"))}
-    if "probability" in scored.columns:
-        out["p"] = vector_to_array("probability")
-    return scored.withColumns(out).select(*rows.columns, *out)
+    last = model.stages[-1]
+    out = [F.get(names, F.col(last.getPredictionCol()).cast("int")).alias("prediction")]
+    if last.hasParam("probabilityCol"):
+        out.append(vector_to_array(last.getProbabilityCol()).alias("p"))
+    return scored.select(*[c for c in rows.columns if c not in ("prediction", "p")], *out)
 
 
 def score(model: PipelineModel, rows: DataFrame, label: str = "label") -> float:

@@ -198,14 +198,14 @@ def split_warnings(spark, sf):
 
 def _features(spark, sf):
     n = T.word_count(F.col("text")).cast("double")
-    return models.weighted(rec(spark, sf).withColumns({"f_words": n, "f_chars": F.col("n_chars") / F.greatest(n, F.lit(1.0)), "f_lines": F.size(F.split("text", "\n")).cast("double")}))
+    return rec(spark, sf).withColumns({"f_words": n, "f_chars": F.col("n_chars") / F.greatest(n, F.lit(1.0)), "f_lines": F.size(F.split("text", "\n")).cast("double")})
 
 
 @R.add("label_model")
 def label_model(spark, sf):
-    """A multinomial logistic model of the label, fitted on the training split and scored by class on the others."""
+    """A multinomial logistic model of the label, fitted on the training split, balanced by its labels, and scored by class on the others."""
     rows, names = _features(spark, sf), ["f_words", "f_chars", "f_lines"]
-    train = rows.filter("split = 'train'")
+    train = models.weighted(rows.filter("split = 'train'"))
     model = models.estimator(names, n=train.count()).fit(train)
     return models.predictions(model, rows.filter("split <> 'train'")).groupBy("split", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
