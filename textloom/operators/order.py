@@ -14,7 +14,7 @@ def ordinals(df: DataFrame, key: str, name: str = "ordinal", rows: int = ROWS) -
     n = df.count()
     k = max(1, min(MOST_RANGES, -(-n // rows)))
     bounds = sorted(set(df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / k for i in range(1, k)], 0.2 / k))) if k > 1 else []
-    out = df.withColumn("_range", _searched(bounds, F.col(key).cast("double"), 0, len(bounds)))
+    out = df.withColumn("_range", searched(bounds, F.col(key).cast("double")))
     sizes = out.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
     base = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_base"))
@@ -22,9 +22,10 @@ def ordinals(df: DataFrame, key: str, name: str = "ordinal", rows: int = ROWS) -
     return out.withColumn("_inside", inside).join(F.broadcast(base), "_range").withColumn(name, (F.col("_inside") + F.col("_base")).cast("long")).drop("_range", "_inside", "_base")
 
 
-def _searched(bounds: list[float], value: Column, lo: int, hi: int) -> Column:
-    """Number of bounds below the value, by halving: a tree of comparisons."""
+def searched(bounds: list[float], value: Column, lo: int = 0, hi: int | None = None) -> Column:
+    """Number of ascending bounds below the value, by halving: a tree of comparisons."""
+    hi = len(bounds) if hi is None else hi
     if lo == hi:
         return F.lit(lo)
     mid = (lo + hi) // 2
-    return F.when(value > bounds[mid], _searched(bounds, value, mid + 1, hi)).otherwise(_searched(bounds, value, lo, mid))
+    return F.when(value > bounds[mid], searched(bounds, value, mid + 1, hi)).otherwise(searched(bounds, value, lo, mid))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import metrics
+from textloom.operators.order import searched
 
 
 def moments(rows: DataFrame, names: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray, float]:
@@ -58,7 +59,7 @@ def quantile_grid(rows: DataFrame, column: str, points: int = 1001) -> list[floa
 
 def upper_tail(distance: Column, grid: Sequence[float]) -> Column:
     """0 up to the median of the grid, 1 at its end: the share of the grid below, above one half, doubled."""
-    below = F.size(F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda q: q < distance)) / float(len(grid))
+    below = searched(sorted(map(float, grid), key=lambda g: (g != g, g)), distance) / float(len(grid))
     return F.greatest(F.lit(0.0), (below - 0.5) / 0.5)
 
 
