@@ -76,7 +76,7 @@ def statistics(rows: DataFrame, text: str = "text") -> DataFrame:
         "characters_no_spaces": bare.cast("long"),
         "whitespace_ratio": (F.length("_t") - bare) / size,
         "url_count": count(r"https?://\S+"),
-        "email_count": count(r"[\w.+-]+@[\w-]+\.[\w.]+"),
+        "email_count": count(T.EMAIL),
         "emoji_count": count(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"),
         "non_ascii_ratio": (F.length("_t") - F.length(F.regexp_replace("_t", r"[^\x00-\x7F]", ""))) / size,
         "code_fence_count": count("```"),
@@ -222,7 +222,10 @@ def explain(features: Mapping[str, Column]) -> Column:
 
 def three_scores(p: Column, classes: Sequence[str] = CLASSES) -> Column:
     """Probabilities as whole percents that sum to 100: parts cut off go to the largest remainders, the first of equals."""
-    hundred = F.transform(metrics.normalise(p), lambda x: x * 100)
+    q = F.transform(p, lambda x: F.when(x.isNull() | F.isnan(x) | (x < 0), F.lit(0.0)).otherwise(x))
+    # those of sum 1 stay to the last bit: a division by 1 less rounding would make remainders that are equal differ
+    sums = F.abs(F.aggregate(q, F.lit(0.0), lambda a, x: a + x) - 1) <= 1e-9
+    hundred = F.transform(F.when(sums, q).otherwise(metrics.normalise(p)), lambda x: x * 100)
 
     def dealt(h: Column) -> Column:
         order = F.array_sort(F.transform(h, lambda x, i: F.struct((F.floor(x) - x).alias("r"), i.alias("i"))))
