@@ -7,7 +7,7 @@ array expressions of one projection, without shuffles.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,10 +37,27 @@ def type_token_ratio(w: Column) -> Column:
 
 
 def mattr(w: Column, window: int = WINDOW) -> Column:
-    """Mean share of distinct words over all windows; the whole text if it is no longer than one."""
-    starts = F.when(F.size(w) > window, F.sequence(F.lit(1), F.size(w) - window + 1)).otherwise(F.array().cast("array<int>"))
-    moving = F.transform(starts, lambda i: F.size(F.array_distinct(F.slice(w, i, window))).cast("double") / float(window))
-    return F.when(F.size(w) > window, _mean(moving)).otherwise(type_token_ratio(w))
+    """Mean share of distinct words over all windows; the whole text if it is no longer than one. A window is the one before
+    it less a word and with one more; array functions would make every window anew, so this is Python, by Arrow batches."""
+
+    def share(words: Iterable[str] | None) -> float:
+        w = [] if words is None else list(words)
+        if len(w) <= window:
+            return len(set(w)) / len(w) if w else 0.0
+        held: dict[str, int] = {}
+        total = 0.0
+        for i, x in enumerate(w):
+            held[x] = held.get(x, 0) + 1
+            if i >= window:
+                old = w[i - window]
+                held[old] -= 1
+                if not held[old]:
+                    del held[old]
+            if i >= window - 1:
+                total += len(held) / window
+        return total / (len(w) - window + 1)
+
+    return F.pandas_udf(lambda words: words.map(share, na_action=None).astype(float), DoubleType())(w)
 
 
 def ngrams(w: Column, n: int) -> Column:
@@ -64,7 +81,7 @@ def lexical(docs: DataFrame, text: str = "text") -> DataFrame:
     ends = {"period": ".", "question": "?", "exclamation": "!"}
     ending = lambda c: F.size(F.filter("_s", lambda s: F.regexp_replace(s, r"[\"'’”)\]]+\z", "").endswith(c)))
     lower = F.lower(t)
-    transitions = F.regexp_count(lower, F.lit(r"\b(?:" + "|".join(m.lower() for m in L.MARKERS) + r")\b"))
+    transitions = F.regexp_count(lower, F.lit(rf"\b{T.any_of([m.lower() for m in L.MARKERS])}\b"))
     cols = {
         "type_token_ratio": type_token_ratio(w),
         "mattr_50": mattr(w),
@@ -83,7 +100,7 @@ def lexical(docs: DataFrame, text: str = "text") -> DataFrame:
         "whitespace_ratio": _ratio(F.length(t) - F.length(F.regexp_replace(t, rf"{T.SPACE}", "")), F.length(t)),
         "homoglyph_count": count("[" + L.LOOK_ALIKES[1] + "]"),
         "url_count": count(r"https?://\S+"),
-        "email_count": count(r"[\w.+-]+@[\w-]+\.[\w.]+"),
+        "email_count": count(T.EMAIL),
     }
     cols |= {f"{k}_share": _ratio(count(p), total) for k, p in marks.items()}
     cols |= {f"ends_{k}": _ratio(ending(c), F.size("_s")) for k, c in ends.items()}
@@ -99,7 +116,7 @@ FEATURES = (
 
 
 def compression_ratio(text: Column) -> Column:
-    """Deflated size over size in bytes; 0 for null and empty. The one feature that needs Python, by Arrow batches."""
+    """Deflated size over size in bytes; 0 for null and empty. By Arrow batches of Python."""
 
     def ratio(texts: pd.Series) -> pd.Series:
         raw = texts.fillna("").map(str.encode)
@@ -180,11 +197,11 @@ def analyse(docs: DataFrame, min_words: int = 50) -> DataFrame:
     n = T.word_count(F.col("text"))
     blank = T.strip(F.coalesce("text", F.lit(""))) == ""
     status = F.when(blank, "empty_input").when(n < min_words, "too_short").otherwise("ok")
-    judged = docs.withColumn("status", status)
-    some = lexical(judged.filter("status = 'ok'"))
+    # a text that is not judged is null to the features: a filter would go below the dealing out of rows, onto few tasks
+    judged = docs.withColumn("status", status).withColumn("text", F.when(F.col("status") == "ok", F.col("text")))
+    some = lexical(judged)
     slop = slop_score({"repetition": (F.col("fourgram_repetition") * 4, 0.4), "transitions": (F.col("transitions_per_100_words") / 5, 0.3), "variety": (1 - F.col("mattr_50"), 0.3)})
-    some = some.select("row_id", "status", language(F.col("text"))["language"].alias("language"), structural_ood(F.col("text")).alias("ood"), slop.alias("slop"))
+    ok = lambda c: F.when(F.col("status") == "ok", c)
+    some = some.select("row_id", "status", ok(language(F.col("text"))["language"]).alias("language"), ok(structural_ood(F.col("text"))).alias("ood"), ok(slop).alias("slop"))
     level = F.when(F.col("slop") < 20, "minimal").when(F.col("slop") < 40, "low").when(F.col("slop") < 60, "moderate").when(F.col("slop") < 80, "high").otherwise("severe")
-    some = some.withColumn("level", F.when(F.col("slop").isNotNull(), level))
-    none = judged.filter("status <> 'ok'").select("row_id", "status", *[F.lit(None).cast(t).alias(c) for c, t in (("language", "string"), ("ood", "string"), ("slop", "double"), ("level", "string"))])
-    return some.unionByName(none)
+    return some.withColumn("level", F.when(F.col("slop").isNotNull(), level))
